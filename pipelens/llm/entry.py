@@ -9,12 +9,29 @@ from pyspark.sql import functions as F
 
 from pipelens.llm.common import table
 from pipelens.llm.line_dedup import dedup_lines
+from pipelens.llm.minhash import near_duplicates
+from pipelens.llm.packing import pack_documents
 from pipelens.llm.url_filter import filter_urls
 
 #: Fixed values of the query's contract.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = dedup_lines(table(spark, sf_dir, "documents"))
     return docs.select("doc_id", "text", F.length("text").cast("long").alias("n_chars"), "n_removed")
@@ -45,7 +62,7 @@ from h left join hits on h.host = hits.host and h.path = hits.path
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_line_dedup": op7_line_dedup, "op8_url_filter": op8_url_filter}
+    return {"op1_packing": op1_packing, "op4_minhash": op4_minhash, "op7_line_dedup": op7_line_dedup, "op8_url_filter": op8_url_filter}
 
 
 def oracle_sql() -> dict[str, str]:
