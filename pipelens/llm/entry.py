@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pipelens.llm.common import table
+from pipelens.llm import language, toxicity
+from pipelens.llm.common import held_out, table
 from pipelens.llm.line_dedup import dedup_lines
 from pipelens.llm.minhash import near_duplicates
 from pipelens.llm.packing import pack_documents
@@ -28,6 +29,14 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
+    )
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
 
@@ -42,6 +51,12 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), listed).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs)
+    return language.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 OP8_SQL = r"""
 with p as (
   select page_id, case when instr(coalesce(url, ''), '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages
@@ -62,7 +77,8 @@ from h left join hits on h.host = hits.host and h.path = hits.path
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op4_minhash": op4_minhash, "op7_line_dedup": op7_line_dedup, "op8_url_filter": op8_url_filter}
+    found = [op1_packing, op2_toxicity, op4_minhash, op7_line_dedup, op8_url_filter, op9_language_id]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -46,9 +46,9 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Words of a run of texts: spans, hashes, and where each text's words begin."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = _SPACE):
         n = len(data)
-        space = _SPACE[data]
+        space = breaks[data]
         word = ~space
         begins = word.copy()
         if n > 1:
