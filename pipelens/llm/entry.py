@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from pipelens.llm import language, toxicity
 from pipelens.llm.common import held_out, table
+from pipelens.llm.embedding_dedup import near_vectors
 from pipelens.llm.line_dedup import dedup_lines
 from pipelens.llm.minhash import near_duplicates
 from pipelens.llm.packing import pack_documents
+from pipelens.llm.topk import top_k
 from pipelens.llm.url_filter import filter_urls
+from pipelens.llm.vectors import usable
 
 #: Fixed values of the query's contract.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -41,6 +44,13 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").withColumn("ok", usable("embedding"))
+    whole = F.when(F.col("ok"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 64)))
+    found = top_k(rows.select("vec_id", whole.alias("vector")), F.pmod("vec_id", F.lit(20)) == 0, k=20)
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = dedup_lines(table(spark, sf_dir, "documents"))
     return docs.select("doc_id", "text", F.length("text").cast("long").alias("n_chars"), "n_removed")
@@ -57,6 +67,23 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+OP5_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(embedding) > 0
+), s as (
+  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::bigint as score
+  from v q join v c on q.vec_id <> c.vec_id and len(q.v) = len(c.v) where q.vec_id % 20 = 0
+)
+select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score
+from s qualify rank <= 20
+"""
+
+
 OP8_SQL = r"""
 with p as (
   select page_id, case when instr(coalesce(url, ''), '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages
@@ -77,9 +104,9 @@ from h left join hits on h.host = hits.host and h.path = hits.path
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_packing, op2_toxicity, op4_minhash, op7_line_dedup, op8_url_filter, op9_language_id]
+    found = [op1_packing, op2_toxicity, op4_minhash, op5_topk, op7_line_dedup, op8_url_filter, op9_language_id, op10_embedding_dedup]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filter": OP8_SQL}
+    return {"op5_topk": OP5_SQL, "op8_url_filter": OP8_SQL}
