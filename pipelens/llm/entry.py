@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pipelens.llm import language, toxicity
+from pipelens.llm import language, sentencepiece_dropout, toxicity
 from pipelens.llm.common import held_out, table
 from pipelens.llm.embedding_dedup import near_vectors
+from pipelens.llm.html_text import extract_text
 from pipelens.llm.line_dedup import dedup_lines
 from pipelens.llm.minhash import near_duplicates
 from pipelens.llm.packing import pack_documents
@@ -40,6 +41,19 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids under dropout, by a digest, and whether they decode to the text."""
+    file = tokenizer_file("piece_bpe_32k.model")
+    ids = sentencepiece_dropout.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), file, seed=1, dropout=0.1)
+    out = sentencepiece_dropout.decode(ids, file)
+    return out.select(
+        "doc_id",
+        F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_ids"),
+        F.crc32(F.array_join("ids", " ").cast("binary")).alias("ids_crc32"),
+        F.col("text").eqNullSafe(F.col("decoded")).alias("lossless"),
+    )
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
 
@@ -51,6 +65,11 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", "vec_id", "score")
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = dedup_lines(table(spark, sf_dir, "documents"))
     return docs.select("doc_id", "text", F.length("text").cast("long").alias("n_chars"), "n_removed")
@@ -104,7 +123,7 @@ from h left join hits on h.host = hits.host and h.path = hits.path
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_packing, op2_toxicity, op4_minhash, op5_topk, op7_line_dedup, op8_url_filter, op9_language_id, op10_embedding_dedup]
+    found = [op1_packing, op2_toxicity, op3_sentencepiece, op4_minhash, op5_topk, op6_html_text, op7_line_dedup, op8_url_filter, op9_language_id, op10_embedding_dedup]
     return {f.__name__: f for f in found}
 
 
