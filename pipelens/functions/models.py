@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Any
 
+import numpy as np
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -170,11 +171,29 @@ class OLS(Model):
 
     described = "OLS"
 
-    def learner(self, rows):
-        from pyspark.ml.regression import LinearRegression
+    def _fit(self, rows, recorder):
+        """The normal equations: sums of products from one aggregation, solved on the driver (width x width numbers)."""
+        from pyspark.ml.functions import vector_to_array
 
-        return LinearRegression(solver="normal", fitIntercept=False, standardization=False)
+        with suspended(recorder):
+            width = len(rows.select("features").first()[0])
+            x = [F.col("x")[i] for i in range(width)] + [F.col("label")]
+            products = [(i, j) for i in range(width + 1) for j in range(i, width + 1)]
+            data = rows.select(vector_to_array("features").alias("x"), "label")
+            sums = data.agg(*[F.sum(x[i] * x[j]).alias(f"s{i}_{j}") for i, j in products]).first()
+        gram = np.zeros((width + 1, width + 1))
+        for i, j in products:
+            gram[i, j] = gram[j, i] = sums[f"s{i}_{j}"]
+        size = np.sqrt(np.maximum(np.diag(gram)[:width], 1e-300))
+        scaled = gram[:width, :width] / size / size[:, None]
+        return np.linalg.lstsq(scaled, gram[:width, width] / size, rcond=None)[0] / size
+
+    def predict(self, rows):
+        from pyspark.ml.functions import vector_to_array
+
+        x = vector_to_array("features")
+        return rows.withColumn("prediction", sum((x[i] * F.lit(float(w)) for i, w in enumerate(self.model)), F.lit(0.0)))
 
     @property
     def params(self) -> list[float]:
-        return [float(x) for x in self.model.coefficients]
+        return [float(x) for x in self.model]

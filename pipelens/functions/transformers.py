@@ -7,6 +7,7 @@ transformer is a projection that stays in the same stage as its input, and no da
 
 from __future__ import annotations
 
+import re
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
@@ -65,6 +66,15 @@ def _array(values: Sequence[Column]) -> dict[str, Column]:
     return {"array": F.array(*[v.cast("double") for v in values])}
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body and its lambdas use it."""
+    return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
+
+
+def hot(n: int) -> Callable[[Column], Column]:
+    return lambda at: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when(at == i, 1.0).otherwise(0.0))
+
+
 class StandardScaler(Transformer):
     """(x - mean) / population deviation; constant columns are only shifted."""
 
@@ -105,7 +115,7 @@ class OneHotEncoder(Transformer):
                 at = F.when(q(c).isNull(), F.lit(len(values) - 1)).otherwise(at)
             if self.args["handle_unknown"] == "error":
                 at = F.coalesce(at, F.raise_error(F.concat(F.lit(f"unknown category in {c}: "), F.coalesce(q(c).cast("string"), F.lit("null")))).cast("int"))
-            parts.append(F.transform(F.sequence(F.lit(0), F.lit(len(values) - 1)), lambda i, at=at: F.when(at == i, 1.0).otherwise(0.0)))
+            parts.append(F.array(*[F.when(at == i, 1.0).otherwise(0.0) for i in range(len(values))]) if len(values) <= 64 else let(at, hot(len(values))))
         return {"array": F.concat(*parts)}
 
 
@@ -238,42 +248,56 @@ class HashingVectorizer(Transformer):
     def outputs(self, columns):
         c, n = columns[0], self.args["n_features"]
         lo, hi = self.args["ngram_range"]
-        words = F.regexp_extract_all(F.lower(F.coalesce(q(c).cast("string"), F.lit(""))), F.lit(f"(?U)({TOKEN})"))
-        grams = []
-        for k in range(lo, hi + 1):
-            starts = F.when(F.size(words) >= k, F.sequence(F.lit(1), F.size(words) - (k - 1))).otherwise(F.array().cast("array<int>"))
-            grams.append(words if k == 1 else F.transform(starts, lambda i, k=k: F.array_join(F.slice(words, i, k), " ")))
-        tokens = F.concat(*grams)
+        norm = self.args["norm"]
         if self.args["hash"] == "murmur3":
-            norm = self.args["norm"]
 
             @F.pandas_udf("array<double>")
             def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
                 known: dict[str, int] = {}
+                token = re.compile(TOKEN)
                 for batch in batches:
                     out = []
-                    for row in batch:
-                        v = np.zeros(n)
-                        for t in row:
-                            h = known.get(t)
-                            if h is None:
-                                h = known[t] = murmur3(t.encode())
-                            v[abs(h) % n] += 1 if h >= 0 else -1
+                    for text in batch:
+                        words, v = token.findall((text or "").lower()), np.zeros(n)
+                        for k in range(lo, hi + 1):
+                            for i in range(len(words) - k + 1):
+                                t = " ".join(words[i : i + k])
+                                h = known.get(t)
+                                if h is None:
+                                    if len(known) > 500_000:
+                                        known.clear()
+                                    h = known[t] = murmur3(t.encode())
+                                v[abs(h) % n] += 1 if h >= 0 else -1
                         size = np.sqrt((v * v).sum()) if norm == "l2" else 0
                         out.append(v / size if size else v)
                     yield pd.Series(out)
 
-            return {"array": hashed(tokens)}
-        bucket = lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint"), F.lit(n)).cast("int")
-        sign = lambda t: F.when(F.substring(F.md5(t), 9, 1) < "8", 1.0).otherwise(-1.0)
-        pairs = F.transform(tokens, lambda t: F.struct(bucket(t).alias("b"), sign(t).alias("s")))
-        there = F.array_distinct(F.transform(pairs, lambda p: p["b"]))
-        sums = F.map_from_arrays(there, F.transform(there, lambda b: F.aggregate(F.filter(pairs, lambda p: p["b"] == b), F.lit(0.0), lambda a, p: a + p["s"])))
-        raw = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.try_element_at(sums, i), F.lit(0.0)))
-        if self.args["norm"] != "l2":
-            return {"array": raw}
-        size = F.sqrt(F.aggregate(F.map_values(sums), F.lit(0.0), lambda a, x: a + x * x))
-        return {"array": F.transform(raw, lambda x: F.when(size > 0, x / size).otherwise(x))}
+            return {"array": hashed(q(c).cast("string"))}
+
+        def gram(words: Column, k: int) -> Column:
+            if k == 1:
+                return words
+            starts = F.when(F.size(words) >= k, F.sequence(F.lit(1), F.size(words) - (k - 1))).otherwise(F.array().cast("array<int>"))
+            return F.transform(starts, lambda i: F.array_join(F.slice(words, i, k), " "))
+
+        def signed(digest: Column) -> Column:
+            bucket = F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint"), F.lit(n)).cast("int")
+            return F.struct(bucket.alias("b"), F.when(F.substring(digest, 9, 1) < "8", 1.0).otherwise(-1.0).alias("s"))
+
+        def vector(pairs: Column) -> Column:
+            there = F.array_distinct(F.transform(pairs, lambda p: p["b"]))
+            sums = F.map_from_arrays(there, F.transform(there, lambda b: F.aggregate(F.filter(pairs, lambda p: p["b"] == b), F.lit(0.0), lambda a, p: a + p["s"])))
+            return let(sums, lambda m: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0.0))))
+
+        def scaled(raw: Column) -> Column:
+            size = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, x: a + x * x))
+            return let(size, lambda z: F.transform(raw, lambda x: F.when(z > 0, x / z).otherwise(x)))
+
+        found = F.regexp_extract_all(F.lower(F.coalesce(q(c).cast("string"), F.lit(""))), F.lit(f"(?U)({TOKEN})"))
+        tokens = let(found, lambda words: F.concat(*[gram(words, k) for k in range(lo, hi + 1)]))
+        pairs = F.transform(tokens, lambda t: let(F.md5(t), signed))
+        raw = let(pairs, vector)
+        return {"array": let(raw, scaled) if norm == "l2" else raw}
 
 
 class Word2Vec(Transformer):
