@@ -3,12 +3,15 @@
 A text's set holds the hashes of its distinct word shingles. Texts with equal sets are one class, found by a hash of
 the whole set, so copies of any number cost a row of an aggregation each and no pair. For one text of each class, the
 minima of 190 hash functions give 38 band keys of 5 minima; of each minimum the low 4 bits are kept, packed into 12
-longs. A class meets, in each band bucket, the bucket's least class (a star, not all pairs); agreement of the packed
+longs. A class meets, in each band bucket, the bucket's centre, the class that shares most with others (a star, not all
+pairs); agreement of the packed
 signatures, counted in bits and corrected for chance collisions (1/16), estimates the similarity, and pairs whose
-estimate is far below the threshold (7 standard deviations) go. What is left is confirmed on the full sets.
+estimate is far below the threshold (4.5 standard deviations) go. What is left is confirmed on the full sets.
 
 Stars link a bucket's members only through its centre. So where a bucket holds more than one component after that, its
-members outside the centre's component meet all members of other components, again by estimate and full sets. Two
+members are compared with each other exactly: by the prefix filter over shingles ordered from rare to frequent, whose
+candidates (in different components, of fitting sizes) are confirmed on the full sets. Variants of one text that stay
+just under the threshold differ in their rare shingles, so that they give few candidates however many they are. Two
 texts at the threshold share no bucket with a chance of 3e-7, less above it.
 
 Null and empty texts, and texts of white space, have an empty set and link with nothing. Texts under k words are one
@@ -30,6 +33,10 @@ from pipelens.llm.shingles import mix, shingle_sets
 
 BANDS, ROWS, BITS = 38, 5, 4
 HASHES = 192
+#: Below the threshold by this much an estimate rules a pair out: 4.5 standard deviations of an estimate at 0.8.
+MARGIN = 0.13
+#: Buckets of the table of counts that orders shingles; it is collected and sent to all tasks, 2 MB.
+ORDER = 1 << 18
 LONGS = HASHES * BITS // 64
 _A = (mix(np.arange(1, HASHES + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _C = (mix(np.arange(1001, HASHES + 1001, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
@@ -132,12 +139,66 @@ def _confirm(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterato
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def texts_of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of the documents with the ids ``ids(id)``."""
+    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
+    return texts.join(ids.distinct(), "id", "left_semi")
+
+
+def _share(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(ORDER, np.int64)
+    for batch in batches:
+        for found in shingle_sets(batch.column(0), k):
+            np.add.at(counts, (found % np.uint64(ORDER)).astype(np.int64), 1)
+    some = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["bucket", "n"])
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], order: np.ndarray, k: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Of each text its rarest shingles: as many as no partner of its size or more can all lack (indexed), and no smaller
+    partner (the rest)."""
+    names = ["id", "component", "n", "token", "at", "indexed"]
+    for batch in batches:
+        ids, components = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        columns: list[list] = [[] for _ in names]
+        for i, found in enumerate(shingle_sets(batch.column(2), k)):
+            n = len(found)
+            probe = n - -(-percent * n // 100) + 1
+            index = n - -(-2 * percent * n // (100 + percent)) + 1
+            ranks = order[(found % np.uint64(ORDER)).astype(np.int64)]
+            best = np.lexsort((found, ranks))[:probe]
+            for c, v in zip(columns, (np.full(len(best), ids[i]), np.full(len(best), components[i]), np.full(len(best), n), found[best].view(np.int64), np.arange(len(best)), np.arange(len(best)) < index)):
+                c.append(v)
+        if columns[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=names)
+
+
+def prefix_pairs(texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """(u, v) of ``texts(id, text, component)`` in different components that may be similar enough: no such pair is missed.
+
+    Shingles are ordered from rare to frequent, by counts in a table of ORDER buckets (any order is right; this one is
+    fast). Two similar sets share one of the first shingles of each: of the smaller one, those that are indexed.
+    """
+    counts = texts.select("text").mapInArrow(lambda batches: _share(batches, k), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    order = np.zeros(ORDER, np.int64)
+    found = counts.toPandas()  # ORDER rows at most
+    order[found["bucket"].to_numpy(np.int64)] = found["n"]
+    rows = staged(
+        texts.select("id", "component", "text").mapInArrow(
+            lambda batches: _prefixes(batches, order, k, percent), "id long, component long, n long, token long, at long, indexed boolean"
+        ),
+        "prefixes",
+    )
+    small = rows.where("indexed").select("token", F.col("id").alias("u"), F.col("component").alias("cu"), F.col("n").alias("nu"), F.col("at").alias("pu"))
+    large = rows.select("token", F.col("id").alias("v"), F.col("component").alias("cv"), F.col("n").alias("nv"), F.col("at").alias("pv"))
+    fits = (F.col("cu") != F.col("cv")) & (100 * F.col("nu") >= percent * F.col("nv")) & (F.struct("nu", "u") < F.struct("nv", "v"))
+    # The first shingle that two sets share leaves room for enough others behind it.
+    room = (100 + percent) * (1 + F.least(F.col("nu") - F.col("pu"), F.col("nv") - F.col("pv")) - 1) >= percent * (F.col("nu") + F.col("nv"))
+    return small.join(large, "token").where(fits & room).select("u", "v").distinct()
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of ``pairs(u, v)``, classes by their least ids, whose full sets are similar enough."""
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
-    texts = texts.where("text is not null")
-    needed = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct()
-    texts = staged(texts.join(needed, "id", "left_semi"), "texts")
     return staged(
         pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("tu")), "u")
         .join(texts.select(F.col("id").alias("v"), F.col("text").alias("tv")), "v")
@@ -164,10 +225,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         "classes",
     )
     members = classes.select(F.explode("bands").alias("key"), "rep")
-    buckets = staged(members.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("top")).where("centre <> top").select("key", "centre"), "buckets")
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi")
+    hits = staged(members.join(sizes.select("key", "n"), "key"), "hits")
+    # The text that most others resemble shares the most buckets, and the largest: the best centre of its buckets.
+    weight = hits.groupBy("rep").agg(F.sum("n").alias("weight"))
+    centres = (
+        hits.join(weight, "rep").groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("back"))).alias("best"))
+        .select("key", (-F.col("best.back")).alias("centre"))
+    )
+    hits = staged(hits.select("key", "rep").join(centres, "key"), "hits")
     sigs = classes.select("rep", "sig")
-    floor = percent / 100 - 0.2
-    hits = staged(members.join(buckets, "key").select("key", "centre", "rep"), "hits")
+    floor = percent / 100 - MARGIN
     pairs = hits.where("rep <> centre").select(F.col("rep").alias("u"), F.col("centre").alias("v")).distinct()
     pairs = staged(
         pairs.join(sigs.select(F.col("rep").alias("u"), F.col("sig").alias("a")), "u")
@@ -178,28 +246,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         "pairs",
     )
     # Texts that share an id, under different sets, are one node.
-    links = confirmed(pairs, docs, k, percent)
+    needed = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id")))
+    links = confirmed(pairs, staged(texts_of_ids(docs, needed), "texts"), k, percent)
     component = connected_components(links)
 
-    # Buckets that hold several components still: their outer members meet the members of other components.
+    # Buckets that hold several components still: their members meet by the prefix filter, which loses no link.
     named = staged(
-        hits.join(component.select(F.col("node").alias("rep"), "component"), "rep", "left")
-        .select("key", "centre", "rep", F.coalesce("component", "rep").alias("component")),
+        hits.join(component.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
+            "key", "rep", F.coalesce("component", "rep").alias("component")
+        ),
         "members",
     )
-    mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.when(F.col("rep") == F.col("centre"), F.col("component"))).alias("inner")).where("lo <> hi").select("key", "inner")
-    open_rows = staged(named.join(mixed, "key").join(sigs, "rep"), "open")
-    outer = open_rows.where("component <> inner").select("key", F.col("rep").alias("u"), F.col("component").alias("cu"), F.col("sig").alias("a"))
-    others = open_rows.where("rep <> centre").select("key", F.col("rep").alias("v"), F.col("component").alias("cv"), F.col("sig").alias("b"), (F.col("component") != F.col("inner")).alias("outside"))
-    more = staged(
-        outer.join(others, "key")
-        .where((F.col("cu") != F.col("cv")) & (~F.col("outside") | (F.col("u") < F.col("v"))) & (estimate("a", "b") >= floor))
-        .select("u", "v")
-        .distinct(),
-        "pairs",
-    )
-    if not more.isEmpty():
-        component = connected_components(links.unionByName(confirmed(more, docs, k, percent)))
+    mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    unsettled = staged(named.join(mixed, "key").select("rep", "component").distinct(), "unsettled")
+    if not unsettled.isEmpty():
+        texts = staged(texts_of_ids(docs, unsettled.select(F.col("rep").alias("id"))).join(unsettled.withColumnRenamed("rep", "id"), "id"), "texts")
+        more = staged(prefix_pairs(texts, k, percent), "pairs")
+        if not more.isEmpty():
+            component = connected_components(links.unionByName(confirmed(more, texts.select("id", "text"), k, percent)))
     tops = classes.join(component.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
         "s1", "s2", F.coalesce("component", "rep").alias("component_id")
     )
