@@ -83,12 +83,15 @@ def _calibrate(score: np.ndarray, y: np.ndarray) -> float:
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_chars: int = MAX_CHARS, seed: int = 7) -> ToxicityModel | None:
     """Learns from the labels of documents outside the held-out fold; None without both kinds of label."""
     marks = labels.where(~held_out("doc_id") & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.where(~held_out("doc_id") & (F.length("text") > 0) & (F.length("text") <= max_chars))
-    rows = rows.join(marks, "doc_id").select(
-        "doc_id", "lang", "text", "toxic", F.pmod(F.xxhash64("text"), F.lit(64)).alias("part"), F.xxhash64("text", F.lit(seed)).alias("h")
-    )
     part = Window.partitionBy("toxic", "part").orderBy("h", "doc_id")
-    rows = rows.withColumn("k", F.row_number().over(part)).where(F.col("k") <= -(-max_train // 64))
+    chosen = (
+        marks.select("doc_id", "toxic", F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("part"), F.xxhash64("doc_id", F.lit(seed)).alias("h"))
+        .withColumn("k", F.row_number().over(part))
+        .where(F.col("k") <= -(-max_train // 64))
+        .select("doc_id", "toxic", "h")
+    )
+    # Broadcast: ids only, 2 * (max_train + 63) rows at most.
+    rows = docs.where((F.length("text") > 0) & (F.length("text") <= max_chars)).join(F.broadcast(chosen), "doc_id")
     sample = rows.select("lang", "text", "toxic", "h").toPandas().sort_values(["h", "text"], ignore_index=True)
     y = sample["toxic"].to_numpy(int) if len(sample) else np.zeros(0, int)
     if y.min(initial=1) == y.max(initial=0):
