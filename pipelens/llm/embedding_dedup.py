@@ -12,8 +12,8 @@ On vectors that point everywhere the bound makes guests in nearly all cells, and
 vectors of a label, in blocks; it falls as the vectors cluster.
 
 Vectors that are null, empty, zero or hold null or non-finite components link with nothing, neither do rows with a null
-label. Rows with equal ids are vectors of their own in the counts and one node in the components. Extra columns pass
-through; an empty table gives an empty result.
+label. Rows with equal ids are vectors of their own in the counts and one node in the components. Extra columns are left
+out; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -96,13 +96,13 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the repeated runs cut out of text, n_chars (if there) set anew, and n_removed, the lines cut."""
     docs = docs.drop("n_removed")
-    runs = repeated_runs(docs, min_words).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "runs")
+    runs = repeated_runs(docs, min_words).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("runs").alias("__runs"))
     kept = F.filter(
-        F.split("text", "\n"), lambda line, i: ~F.exists("runs", lambda r: (i >= r["first"]) & (i <= r["last"]))
+        F.split("text", "\n"), lambda line, i: ~F.exists("__runs", lambda r: (i >= r["first"]) & (i <= r["last"]))
     )
-    text = F.when(F.col("runs").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    text = F.when(F.col("__runs").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     lines = lambda t: F.when(t.isNull() | (t == ""), 0).otherwise(F.size(F.split(t, "\n")))
     out = docs.join(runs, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__th")), "left").withColumn("__new", text)
     columns = [F.col("__new").alias("text") if c == "text" else F.length("__new").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
-    removed = F.when(F.col("runs").isNull(), 0).otherwise(lines(F.col("text")) - lines(F.col("__new")))
+    removed = F.when(F.col("__runs").isNull(), 0).otherwise(lines(F.col("text")) - lines(F.col("__new")))
     return out.select(*columns, removed.cast("long").alias("n_removed"))

@@ -15,7 +15,7 @@ just under the threshold differ in their rare shingles, so that they give few ca
 texts at the threshold share no bucket with a chance of 3e-7, less above it.
 
 Null and empty texts, and texts of white space, have an empty set and link with nothing. Texts under k words are one
-shingle. Repeated rows are copies of each other. Extra columns pass through; an empty table gives an empty result.
+shingle. Repeated rows are copies of each other. Extra columns are left out; an empty table gives an empty result.
 Ids are integers; rows with a null id link with nothing.
 """
 

@@ -91,10 +91,11 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_ch
         .select("doc_id", "toxic", "h")
     )
     # Broadcast: ids only, 2 * (max_train + 63) rows at most.
-    rows = docs.where((F.length("text") > 0) & (F.length("text") <= max_chars)).join(F.broadcast(chosen), "doc_id")
+    texts = docs.select("doc_id", "lang", "text").where((F.length("text") > 0) & (F.length("text") <= max_chars))
+    rows = texts.join(F.broadcast(chosen), "doc_id")
     sample = rows.select("lang", "text", "toxic", "h").toPandas().sort_values(["h", "text"], ignore_index=True)
     y = sample["toxic"].to_numpy(int) if len(sample) else np.zeros(0, int)
-    if y.min(initial=1) == y.max(initial=0):
+    if len(set(y.tolist())) < 2:
         return None
     units: list[np.ndarray] = []
     for _, data, offsets in texts_of(pa.array(sample["text"], pa.string())):
