@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Any
 
@@ -11,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pipelens.capture import Patch, captured
 from pipelens.checks import Check, CheckResult, InspectionResult, check_results_frame
 from pipelens.inspections import Inspection
-from pipelens.operators.frame import InspectedFrame
-from pipelens.plans.model import Dag, DagNode
+from pipelens.operators.frame import ORD, InspectedFrame
+from pipelens.plans.model import Dag, DagNode, OperatorType
 from pipelens.plans.recorder import Recorder, recording
 from pipelens.sources import pipeline_source
 
@@ -28,17 +29,45 @@ class InspectorResult:
         return check_results_frame(spark, self.check_to_check_results)
 
 
-def evaluate(recorder: Recorder, inspections: Iterable[Inspection], checks: Iterable[Check], persist: bool = True) -> InspectorResult:
-    """Results of all nodes. Nodes that several others build on are kept in memory or on disk while their results are made."""
-    shared = [f for n, f in recorder.frames.items() if persist and len(recorder.dag.successors(n)) > 1]
+#: A frame that several others build on is kept while results are made if it took a shuffle and is estimated below this.
+KEEP_BYTES = 1 << 30
+#: Results of different nodes are independent jobs; so many are submitted at once.
+PARALLEL = 4
+
+
+def _worth_keeping(frame: InspectedFrame) -> bool:
+    if frame.node.operator not in (OperatorType.JOIN, OperatorType.GROUP_BY_AGG):
+        return False
+    return int(str(frame.hidden._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= KEEP_BYTES
+
+
+def _share_first_rows(frame: InspectedFrame, inspections: Iterable[Inspection]) -> None:
+    """One job for all inspections that look at the first rows."""
+    counts = [n for i in inspections if (n := getattr(i, "row_count", 0)) > 0]
+    if len(counts) > 1 and frame.node.operator != OperatorType.ESTIMATOR:
+        rows = frame.hidden.orderBy(ORD).limit(max(counts)).collect()
+        frame.first_rows = (max(counts), frame.spark.createDataFrame(rows, frame.hidden.schema))
+
+
+def evaluate(recorder: Recorder, inspections: Iterable[Inspection], checks: Iterable[Check], parallel: int = PARALLEL) -> InspectorResult:
+    """Results of all nodes."""
+    inspections = list(inspections)
+    shared = [f for n, f in recorder.frames.items() if inspections and len(recorder.dag.successors(n)) > 1 and _worth_keeping(f)]
     for f in shared:
         f.hidden.persist()
+    result = InspectionResult(recorder.dag, recorder.frames)
+
+    def one(node: DagNode) -> None:
+        _share_first_rows(recorder.frames[node], inspections)
+        for inspection in inspections:
+            result.get(node, inspection)
+
+    nodes = [n for n in recorder.dag.nodes if n in recorder.frames]
+    for n in nodes:
+        result.results[n] = {}
     try:
-        result = InspectionResult(recorder.dag, recorder.frames)
-        for node in recorder.dag.nodes:
-            if node in recorder.frames:
-                for inspection in inspections:
-                    result.get(node, inspection)
+        with ThreadPoolExecutor(parallel) as pool:
+            list(pool.map(one, nodes))
         verdicts = {check: check.evaluate(result) for check in checks}
     finally:
         for f in shared:

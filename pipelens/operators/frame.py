@@ -43,6 +43,9 @@ def ordinal(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
 
 
 class InspectedFrame:
+    #: The first rows, once collected: how many, and the rows.
+    first_rows: tuple[int, DataFrame] | None = None
+
     def __init__(self, hidden: DataFrame, node: DagNode, recorder: Recorder):
         self.hidden, self.node, self.recorder = hidden, node, recorder
         recorder.frames[node] = self
@@ -67,7 +70,8 @@ class InspectedFrame:
         return self.hidden.select(*self.quoted)
 
     def first(self, n: int) -> DataFrame:
-        return self.hidden.orderBy(ORD).limit(n)
+        held = self.first_rows
+        return (held[1] if held and held[0] >= n else self.hidden).orderBy(ORD).limit(n)
 
     # --- making nodes ------------------------------------------------------------------------------------------------
 

@@ -28,11 +28,11 @@ SQL: dict[str, str] = {}
 KEYS = {"customer": "c_custkey", "orders": "o_orderkey", "supplier": "s_suppkey", "part": "p_partkey", "nation": "n_nationkey", "region": "r_regionkey", "events": "event_id", "documents": "doc_id", "labels": "doc_id", "embeddings": "vec_id"}
 
 
-def query(sql: str | None = None) -> Callable:
+def query(sql: str | None = None, name: str | None = None) -> Callable:
     def keep(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
+        QUERIES[name or f.__name__] = f
         if sql:
-            SQL[f.__name__] = sql
+            SQL[name or f.__name__] = sql
         return f
 
     return keep
@@ -676,7 +676,7 @@ def check_missing_embeddings(spark, sf_dir):
     return spark.createDataFrame([(found.status.value, sum(x["missing"] for x in found.details.values()))], "status string, missing bigint")
 
 
-@query("select * from (values ('NoBiasIntroducedFor((''o_orderpriority'', -0.3))', 'Failure'), ('NoIllegalFeatures(())', 'Success')) t(check_name, status)")
+@query("select * from (values ('NoBiasIntroducedFor((''o_orderpriority'', -0.3))', 'Failure'), ('NoIllegalFeatures(())', 'Success')) t(check_name, status)", name="check_results_frame")
 def check_results_table(spark, sf_dir):
     run = Run(spark, sf_dir, HistogramForColumns(["o_orderpriority"]))
     run.scan("orders").filter(F.col("o_orderpriority") == "1-URGENT")
