@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -18,12 +19,14 @@ def connect(sf_dir):
 
 
 def plain(value):
-    if value is None or value != value:
+    if value is None or value is pd.NA or (isinstance(value, float) and value != value):
         return None
     if isinstance(value, float):
         return round(value, 6) + 0.0
     if hasattr(value, "tolist"):
         return plain(value.tolist())
+    if isinstance(value, int):
+        return float(value)
     if isinstance(value, (list, tuple)):
         return tuple(map(plain, value))
     return value
