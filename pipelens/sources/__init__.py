@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Sequence
 from typing import Any
 
@@ -22,6 +23,8 @@ from pipelens.plans.recorder import Recorder
 
 READER = "pyspark.sql.DataFrameReader"
 FILE_BITS = 40
+#: The scheme of a path, which is written with one slash or three.
+SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*:/*"
 
 
 def _id(row_id: str | Column | None, default: Column) -> Column:
@@ -36,17 +39,24 @@ def _normalized(df: DataFrame) -> DataFrame:
 
 def read_parquet(spark: SparkSession, path: str, row_id: str | Column | None = None, normalize: bool = False, recorder: Recorder | None = None) -> InspectedFrame:
     df = spark.read.parquet(path)
-    files = sorted(df.inputFiles()) if row_id is None else []
     names = df.columns
+    files = sorted(_plain_path(f) for f in df.inputFiles()) if row_id is None else []
+    columns = [F.col(f"`{c}`") for c in names]
     if len(files) > 1:
-        places = F.create_map(*[x for i, f in enumerate(files) for x in (F.lit(os.path.basename(f)), F.lit(i))])
-        default = F.shiftleft(F.element_at(places, F.col("_metadata.file_name")).cast("bigint"), FILE_BITS) + F.col("_metadata.row_index")
+        # Broadcast: a row for each file, a name and a number.
+        places = F.broadcast(spark.createDataFrame([(f, i) for i, f in enumerate(files)], "__file string, __place bigint"))
+        file = F.regexp_replace(F.col("_metadata.file_path"), SCHEME, "/")
+        rows = df.select(*columns, file.alias("__file"), F.col("_metadata.row_index").alias("__row")).join(places, "__file")
+        rows = rows.select(*columns, (F.shiftleft("__place", FILE_BITS) + F.col("__row")).alias("__rid"))
     else:
-        default = F.col("_metadata.row_index")
-    rows = df.select(*[F.col(f"`{c}`") for c in names], _id(row_id, default).alias("__rid"))
+        rows = df.select(*columns, _id(row_id, F.col("_metadata.row_index")).alias("__rid"))
     return _source(rows, names, normalize, (READER, "parquet"), os.path.basename(path.rstrip("/")), recorder)
 
 
+def _plain_path(uri: str) -> str:
+    return re.sub(SCHEME, "/", uri)
+
+
 def read_csv(
     spark: SparkSession, path: str, schema: str | T.StructType | None = None, na_values: str = "", header: bool = True, row_id: str | Column | None = None, recorder: Recorder | None = None, **options: Any
 ) -> InspectedFrame:

@@ -258,6 +258,16 @@ def test_custom_annotation_follows_its_rows(spark):
     assert len(got) == 8 and all(want[a] == m for a, m in got)
 
 
+def test_row_ids_of_several_files(spark, tmp_path):
+    path = str(tmp_path / "a b")
+    spark.range(100).withColumn("part", F.col("id") % 2).repartition(3).write.partitionBy("part").parquet(path)
+    frame = sources.read_parquet(spark, path, recorder=Recorder(track_code=False))
+    ids = [r[0] for r in frame.hidden.select(F.col("__ord")[0]).collect()]
+    assert len(set(ids)) == 100 and sorted(r.id for r in frame.df.collect()) == list(range(100))
+    again = dict((r.id, r.o) for r in frame.hidden.select("id", F.col("__ord")[0].alias("o")).collect())
+    assert again == dict((r.id, r.o) for r in frame.hidden.repartition(5).select("id", F.col("__ord")[0].alias("o")).collect())
+
+
 def plan(df):
     return df._jdf.queryExecution().toString()
 
