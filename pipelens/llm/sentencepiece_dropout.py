@@ -34,7 +34,7 @@ from pipelens.llm.shingles import mix
 SPACE = "▁"
 CHUNK = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 NEVER = np.iinfo(np.int32).max
-LONG, KEPT = 48, 250_000
+LONG, KEPT, ROWS = 48, 150_000, 128
 _M = (1 << 64) - 1
 
 
@@ -88,7 +88,7 @@ def skipped(key: np.ndarray, start: np.ndarray, middle: np.ndarray, stop: np.nda
 
 class Encoder:
     def __init__(self, model_file: str, seed: int, rate: float, variants: int):
-        self.v, self.seed, self.rate, self.variants = Vocabulary(model_file), seed, rate, max(1, variants if rate > 0 else 1)
+        self.v, self.seed, self.rate, self.variants = vocabulary(model_file), seed, rate, max(1, variants if rate > 0 else 1)
         self.kept: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
 
     def encode(self, rows: list[tuple[int, str]]) -> list[np.ndarray]:
@@ -112,7 +112,7 @@ class Encoder:
             if missing:
                 names = list(missing)
                 self.kept[k].update(zip(names, self.segment(names, k)))
-        return [np.frombuffer(b"".join([self.kept[k][c] for c in chunks]), np.uint16).astype(np.int32) for k, chunks in chunked]
+        return [np.frombuffer(b"".join([self.kept[k][c] for c in chunks]), np.uint16) for k, chunks in chunked]
 
     def segment(self, chunks: list[str], variant: int) -> list[bytes]:
         """Ids of each chunk, as packed 16-bit numbers."""
@@ -232,8 +232,8 @@ def encoder(model_file: str, seed: int, rate: float, variants: int) -> Encoder:
 
 
 @lru_cache(2)
-def pieces(model_file: str) -> list[bytes]:
-    return Vocabulary(model_file).bytes_of
+def vocabulary(model_file: str) -> Vocabulary:
+    return Vocabulary(model_file)
 
 
 def encode(docs: DataFrame, model_file: str, key: str | Column = "doc_id", seed: int = 0, dropout: float = 0.1, variants: int = 4, column: str = "ids") -> DataFrame:
@@ -245,11 +245,13 @@ def encode(docs: DataFrame, model_file: str, key: str | Column = "doc_id", seed:
         own = encoder(model_file, seed, dropout, variants)
         for keys, texts in columns:
             found = []
-            for at in range(0, len(texts), 512):
-                found += own.encode(list(zip(keys[at : at + 512].to_pylist(), (t or "" for t in texts[at : at + 512].to_pylist()))))
+            for at in range(0, len(texts), ROWS):
+                found += own.encode(list(zip(keys[at : at + ROWS].to_pylist(), (t or "" for t in texts[at : at + ROWS].to_pylist()))))
             offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
-            values = pa.array(np.concatenate([np.zeros(0, np.int32), *found]))
+            values = pa.array(np.concatenate([np.zeros(0, np.uint16), *found]).astype(np.int32))
+            del found
             yield pa.ListArray.from_arrays(pa.array(offsets), values, mask=texts.is_null())
+            pa.default_memory_pool().release_unused()
 
     return docs.withColumn(column, ids(F.xxhash64(F.lit(seed), key), F.col("text").cast("string")))
 
@@ -259,7 +261,7 @@ def decode(encoded: DataFrame, model_file: str, ids: str = "ids", column: str =
 
     @F.arrow_udf("string")
     def text(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = pieces(model_file)
+        own = vocabulary(model_file).bytes_of
         for lists in columns:
             out: list[str | None] = []
             for row in lists:
