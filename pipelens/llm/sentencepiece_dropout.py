@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from pipelens.llm.shingles import mix
 
 SPACE = "▁"
+#: A lone surrogate, which no text holds.
+STAND_IN = "\ud800"
 CHUNK = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 NEVER = np.iinfo(np.int32).max
 LONG, KEPT, ROWS = 48, 150_000, 128
@@ -103,7 +105,7 @@ class Encoder:
             if not text:
                 chunked.append((k, []))
                 continue
-            text = text.replace(SPACE, "￿￿") if SPACE in text else text
+            text = text.replace(SPACE, STAND_IN) if SPACE in text else text
             chunks = CHUNK.findall(SPACE + text.replace(" ", SPACE))
             chunked.append((k, chunks))
             kept = self.kept[k]
@@ -116,14 +118,14 @@ class Encoder:
 
     def segment(self, chunks: list[str], variant: int) -> list[bytes]:
         """Ids of each chunk, as packed 16-bit numbers."""
-        points = np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32).astype(np.int64)
+        points = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         owner = np.repeat(np.arange(len(chunks)), [len(c) for c in chunks])
         symbols = self.v.char[points]
         out = np.flatnonzero(symbols < 0)
         if len(out):
             spread = {}
             for p in np.unique(points[out]):
-                raw = SPACE.encode() if p == 0xFFFF else chr(p).encode()
+                raw = SPACE.encode() if p == ord(STAND_IN) else chr(p).encode()
                 spread[p] = self.v.byte[list(raw)]
             size = np.ones(len(points), int)
             size[out] = [len(spread[p]) for p in points[out]]
