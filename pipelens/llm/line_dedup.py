@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pipelens.llm.common import staged
+
 MIN_WORDS = 50
 
 
@@ -65,6 +67,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         .where(F.array_contains("picks", F.col("start")))
         .select("doc_id", "th", "hash", "pos", "start", "stop", F.reverse("before").alias("before"), "after")
     )
+    lines = staged(lines, "fingerprints")  # read twice below
     place = F.struct("doc_id", "th", "start", "before", "after")
     firsts = lines.groupBy("hash").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("hash", "first")
     later = lines.join(firsts, "hash").where(
