@@ -45,6 +45,7 @@ def _lines(docs: DataFrame) -> DataFrame:
             "doc_id", "th", "pos", F.xxhash64("line").alias("hash"),
             (F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1).cast("long").alias("words"),
         )
+        .repartition("doc_id", "th")  # the only exchange of lines: what follows needs a document's together
         .dropDuplicates(["doc_id", "th", "pos"])
     )
     doc = Window.partitionBy("doc_id", "th")
