@@ -38,7 +38,8 @@ def _lines(docs: DataFrame) -> DataFrame:
     line = F.trim(F.col("line"))
     rows = (
         docs.where("text is not null")
-        .select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+        .select("doc_id", F.xxhash64("text").alias("th"), F.split("text", "\n").alias("lines"))  # before the lines: one hash a text
+        .select("doc_id", "th", F.posexplode_outer("lines").alias("pos", "line"))  # outer: no filter that splits again is inferred
         .select("doc_id", "th", "pos", line.alias("line"))
         .where("line <> ''")
         .select(
