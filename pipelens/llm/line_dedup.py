@@ -1,15 +1,15 @@
 """Line dedup by winnowing: delete later repeats of runs of lines.
 
 A line is trimmed; blank lines take no part. Lines are hashed, and a window starts at each line and reaches over all
-lines that begin within ``min_words`` words of it. The least hash of a full window (the last of equals) is a
-fingerprint. A run of at least ``min_words`` words that two places share holds a whole window, so that both places
-have the same fingerprint in it: the guarantee of winnowing.
+lines that begin within ``min_words`` words of it. The least hash of a full window is its fingerprint. A run of at
+least ``min_words`` words that two places share holds a whole window, so that both places have the same fingerprint in
+it: the guarantee of winnowing.
 
-The occurrences of a fingerprint are joined with its first one (documents in order of doc_id, then of the text's hash;
-null ids first), never with each other, and the match is extended both ways, line by line, over at most the words of
-a window, which is as far as to the next fingerprint. Matched stretches of a document that touch are one run;
-a run of ``min_words`` or more is deleted. Each deleted line equals an earlier line, and following those leads to a
-line that is kept, so no content is lost.
+A fingerprint alone may be a frequent line that first stands in other surroundings, and one window a fingerprint may
+reach out of the shared run. So each window is named by its fingerprint and by a hash of all its lines, and is joined
+with the first place of that name (documents in order of doc_id, then of the text's hash; null ids first), never with
+all others. A window that stands earlier is deleted; those of a document that touch are one run. Each deleted line
+equals an earlier line, and following those leads to a line that is kept, so no content is lost.
 
 All is DataFrame operations. Identity is (doc_id, text): repeated rows are one document and come out alike. Null or
 empty texts have no lines and stay as they are; documents under ``min_words`` words lose nothing; extra columns pass
@@ -26,13 +26,6 @@ from pipelens.llm.common import staged
 MIN_WORDS = 50
 
 
-def _leading_equal(a: str, b: str) -> Column:
-    """How many of the first elements of two arrays of (hash, ...) agree."""
-    same = F.zip_with(a, b, lambda x, y: F.coalesce(x["hash"] == y["hash"], F.lit(False)))
-    at = F.array_position(same, F.lit(False))
-    return F.when(at > 0, at - 1).otherwise(F.size(same)).cast("int")
-
-
 def _lines(docs: DataFrame) -> DataFrame:
     """A row for each line that is not blank: document, place, hash, and the words before and after it."""
     line = F.trim(F.col("line"))
@@ -53,39 +46,36 @@ def _lines(docs: DataFrame) -> DataFrame:
     return rows.withColumn("stop", F.sum("words").over(doc.orderBy("pos"))).withColumn("start", F.col("stop") - F.col("words"))
 
 
-def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, th, runs): the runs of lines to delete, as (first, last) places of lines; th is the text's hash."""
+def _windows(docs: DataFrame, min_words: int) -> DataFrame:
+    """A row for each window: document, fingerprint, hash of all its lines, and where it begins and ends (words, lines)."""
     doc = Window.partitionBy("doc_id", "th")
-    order = doc.orderBy("start")
-    here = F.struct("hash", "pos", "start", "stop")
-    lines = (
+    down = doc.orderBy("start").rangeBetween(0, min_words - 1)
+    window = lambda hashes, a, b, first, last: F.struct(
+        F.array_min(hashes).alias("least"), F.xxhash64(hashes).alias("whole"), F.col(a).alias("a"), F.col(b).alias("b"), F.col(first).alias("first_line"), F.col(last).alias("last_line")
+    )
+    return (
         _lines(docs)
-        .withColumn("total", F.max("stop").over(order.rangeBetween(Window.currentRow, Window.unboundedFollowing)))
-        .withColumn("least", F.min(F.struct("hash", (-F.col("start")).alias("back"))).over(order.rangeBetween(0, min_words - 1)))
-        .withColumn("pick", F.when(F.col("total") - F.col("start") >= min_words, -F.col("least.back")))
-        .withColumn("picks", F.collect_set("pick").over(order.rangeBetween(-(min_words - 1), 0)))
-        .withColumn("before", F.collect_list(here).over(order.rangeBetween(-min_words, -1)))
-        .withColumn("after", F.collect_list(here).over(order.rangeBetween(1, min_words)))
-        .where(F.array_contains("picks", F.col("start")))
-        .select("doc_id", "th", "hash", "pos", "start", "stop", F.reverse("before").alias("before"), "after")
+        .withColumn("total", F.max("stop").over(doc))
+        .withColumns({"hashes": F.collect_list("hash").over(down), "b": F.max("stop").over(down), "last": F.max("pos").over(down)})
+        .where(F.col("total") - F.col("start") >= min_words)
+        .select("doc_id", "th", window("hashes", "start", "b", "pos", "last").alias("w"))
+        .select("doc_id", "th", "w.*")
     )
-    lines = staged(lines, "fingerprints")  # read twice below
-    place = F.struct("doc_id", "th", "start", "before", "after")
-    firsts = lines.groupBy("hash").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("hash", "first")
-    later = lines.join(firsts, "hash").where(
-        ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th")) & (F.col("start") == F.col("first.start")))
+
+
+def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, th, runs): the runs of lines to delete, as (first, last) places of lines; th is the text's hash."""
+    doc = Window.partitionBy("doc_id", "th")
+    windows = staged(_windows(docs, min_words), "windows")  # read twice below
+    firsts = (
+        windows.groupBy("least", "whole")
+        .agg(F.min(F.struct("doc_id", "th", "a")).alias("first"), F.count(F.lit(1)).alias("n"))
+        .where("n > 1")
+        .select("least", "whole", "first")
     )
-    down, up = F.col("after")[F.col("n_after") - 1], F.col("before")[F.col("n_before") - 1]
-    matched = (
-        later.withColumns({"n_after": _leading_equal("after", "first.after"), "n_before": _leading_equal("before", "first.before")})
-        .select(
-            "doc_id", "th",
-            F.when(F.col("n_before") > 0, up["pos"]).otherwise(F.col("pos")).alias("first_line"),
-            F.when(F.col("n_after") > 0, down["pos"]).otherwise(F.col("pos")).alias("last_line"),
-            F.when(F.col("n_before") > 0, up["start"]).otherwise(F.col("start")).alias("a"),
-            F.when(F.col("n_after") > 0, down["stop"]).otherwise(F.col("stop")).alias("b"),
-        )
-    )
+    matched = windows.join(firsts, ["least", "whole"]).where(
+        ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th")) & (F.col("a") == F.col("first.a")))
+    ).select("doc_id", "th", "first_line", "last_line", "a", "b")
     sweep = doc.orderBy("a", "b")
     return (
         matched.withColumn("reach", F.max("b").over(sweep.rowsBetween(Window.unboundedPreceding, -1)))

@@ -242,6 +242,34 @@ def test_nothing_is_lost_and_runs_are_found(docs):
         first.setdefault(t, i)
 
 
+def brute_repeats(rows, least):
+    """The text that is left if every line goes that belongs to a run of ``least`` words seen earlier."""
+    docs = brute_lines(rows, least)
+    left, places = {}, collections.defaultdict(list)
+    for d, (i, lines) in enumerate(docs):
+        gone = set()
+        for n, (line, *_) in enumerate(lines):
+            for e, m in places[line]:
+                other, size = docs[e][1], 0
+                while n + size < len(lines) and m + size < len(other) and lines[n + size][0] == other[m + size][0]:
+                    size += 1
+                if lines[n + size - 1][3] - lines[n][2] >= least:
+                    gone |= set(range(lines[n][1], lines[n + size - 1][1] + 1))
+            places[line].append((d, n))
+        left[i] = "\n".join(x for pos, x in enumerate((dict(rows)[i] or "").split("\n")) if pos not in gone)
+    return left
+
+
+def test_a_passage_is_found_though_its_lines_stand_alone_earlier(docs):
+    """Each line of the passage, so also its fingerprint, first stands in other surroundings."""
+    own = lambda s: " ".join(words(30, 7000 + s))
+    passage = [" ".join(words(n, 600 + n)) for n in (8, 14, 11, 13, 15)]
+    rows = [(1 + i, f"{own(2 * i)}\n{line}\n{own(2 * i + 1)}") for i, line in enumerate(passage)]
+    rows += [(i, "\n".join([own(i), *passage, own(i + 1)])) for i in (20, 30)]
+    got = {r.doc_id: r.text for r in dedup_lines(docs(rows)).collect()}
+    assert got == brute_repeats(rows, 50) == dict(rows) | {30: f"{own(30)}\n{own(31)}"}
+
+
 def test_line_dedup_of_odd_rows(docs, spark, sf):
     got = dedup_lines(docs(ODD)).collect()
     texts = {r.doc_id: r.text for r in got}
