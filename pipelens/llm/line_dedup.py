@@ -1,9 +1,10 @@
 """Line dedup by winnowing: delete later repeats of runs of lines.
 
-A line is trimmed; blank lines take no part. Lines are hashed, and a window starts at each line and reaches over all
-lines that begin within ``min_words`` words of it. The least hash of a full window is its fingerprint. A run of at
-least ``min_words`` words that two places share holds a whole window, so that both places have the same fingerprint in
-it: the guarantee of winnowing.
+A line is trimmed; blank lines take no part. Lines are hashed, and a window starts at each line and reaches over as few
+lines as hold ``min_words`` words; another ends at each line and reaches up as far. The least hash of a window is its
+fingerprint. A run of at least ``min_words`` words that two places share holds a whole window over each of its lines
+(up from the line where that stays in the run, else down from the run's first line), so that both places have the same
+fingerprints in it: the guarantee of winnowing.
 
 A fingerprint alone may be a frequent line that first stands in other surroundings, and one window a fingerprint may
 reach out of the shared run. So each window is named by its fingerprint and by a hash of all its lines, and is joined
@@ -50,15 +51,19 @@ def _windows(docs: DataFrame, min_words: int) -> DataFrame:
     """A row for each window: document, fingerprint, hash of all its lines, and where it begins and ends (words, lines)."""
     doc = Window.partitionBy("doc_id", "th")
     down = doc.orderBy("start").rangeBetween(0, min_words - 1)
-    window = lambda hashes, a, b, first, last: F.struct(
+    up = doc.orderBy("stop").rangeBetween(1 - min_words, 0)
+    window = lambda full, hashes, a, b, first, last: F.when(full, F.struct(
         F.array_min(hashes).alias("least"), F.xxhash64(hashes).alias("whole"), F.col(a).alias("a"), F.col(b).alias("b"), F.col(first).alias("first_line"), F.col(last).alias("last_line")
-    )
+    ))
+    from_here = window(F.col("total") - F.col("start") >= min_words, "hashes", "start", "b", "pos", "last")
+    # one that is also the window from its first line is not needed twice
+    to_here = window((F.col("stop") >= min_words) & (F.col("start") - F.col("a") >= min_words), "hashes_up", "a", "stop", "first", "pos")
     return (
         _lines(docs)
         .withColumn("total", F.max("stop").over(doc))
         .withColumns({"hashes": F.collect_list("hash").over(down), "b": F.max("stop").over(down), "last": F.max("pos").over(down)})
-        .where(F.col("total") - F.col("start") >= min_words)
-        .select("doc_id", "th", window("hashes", "start", "b", "pos", "last").alias("w"))
+        .withColumns({"hashes_up": F.collect_list("hash").over(up), "a": F.min("start").over(up), "first": F.min("pos").over(up)})
+        .select("doc_id", "th", F.explode(F.array_compact(F.array(from_here, to_here))).alias("w"))
         .select("doc_id", "th", "w.*")
     )
 

@@ -270,6 +270,22 @@ def test_a_passage_is_found_though_its_lines_stand_alone_earlier(docs):
     assert got == brute_repeats(rows, 50) == dict(rows) | {30: f"{own(30)}\n{own(31)}"}
 
 
+def test_runs_are_cut_to_their_ends(docs):
+    """What follows a long fingerprint line goes too; all runs of 50 words seen earlier, and nothing else."""
+    own = lambda s: " ".join(words(30, 8000 + s))
+    long_line = " ".join(words(70, 78))
+    rows = [(i, f"{own(i)}\n{long_line}\n\nshort one\nand another\n{own(50 + i)}") for i in range(3)]
+    rng = random.Random(6)
+    lines = [" ".join(words(rng.choice([1, 2, 5, 9, 20, 60]), 300 + s)) for s in range(25)]
+    pool = [[rng.choice(lines) for _ in range(rng.randint(2, 15))] for _ in range(12)]
+    for i in range(100, 180):
+        parts = [rng.choice(pool) if rng.random() < 0.6 else [rng.choice(lines)] if rng.random() < 0.5 else [own(100 * i)] for _ in range(rng.randint(1, 5))]
+        rows.append((i, "\n".join(line for p in parts for line in p)))
+    got = {r.doc_id: r.text for r in dedup_lines(docs(rows)).collect()}
+    assert got[1] == f"{own(1)}\n{own(51)}"
+    assert got == brute_repeats(rows, 50)
+
+
 def test_line_dedup_of_odd_rows(docs, spark, sf):
     got = dedup_lines(docs(ODD)).collect()
     texts = {r.doc_id: r.text for r in got}
