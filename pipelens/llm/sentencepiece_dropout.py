@@ -2,14 +2,16 @@
 
 A merge-type (BPE) SentencePiece vocabulary is applied as the library applies it: characters are the first symbols, an
 agenda takes the adjacent pair whose joined piece scores best (the leftmost of equals), and characters outside the
-vocabulary fall back to byte pieces. With dropout each candidate merge, named by its chunk and by where it begins, is
-divided and ends, is skipped if a keyed hash of that name falls below the rate. The key comes from the seed and from
-the document's id: a document gets one of ``variants`` keys, so segmentations vary between documents and, by the
-seed, between epochs, and any run gives the same ones. Without dropout the ids are the library's.
+vocabulary fall back to byte pieces. With dropout each candidate merge, named by its document, by its chunk's place in
+the document and by where it begins, is divided and ends, is skipped if a keyed hash of that name falls below the rate.
+The key comes from the seed and from the document's id, so each occurrence of a word has a segmentation of its own, and
+any run gives the same ones. Without dropout the ids are the library's.
 
-Texts fall into chunks (white space and what follows it; line breaks) that no piece reaches across, so each chunk is
-worked out once for a key and kept. Short chunks are merged side by side in numpy, one merge of each at a time; long
-ones by a heap. Both read the same hashes.
+Texts fall into chunks (white space and what follows it; line breaks) that no piece reaches across. The ids of a chunk
+depend on its characters and on which of its candidates are skipped, and those of frequent chunks are kept by just
+that: the hashes of an occurrence's candidates make a set of bits, and the chunk is worked out once for the bits that
+its merging looks at. All other occurrences are worked out each by itself: short chunks are merged side by side in
+numpy, one merge of each at a time, long ones by a heap. All read the same hashes.
 
 Decoding joins pieces and bytes and takes the leading space off; it gives the text back whatever was skipped. U+2581,
 which stands for a space in pieces, is encoded by bytes, so that it survives. A null text has null ids; an empty one
@@ -20,7 +22,8 @@ from __future__ import annotations
 
 import heapq
 import re
-import zlib
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,6 +40,10 @@ STAND_IN = "\ud800"
 CHUNK = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 NEVER = np.iinfo(np.int32).max
 LONG, KEPT, ROWS = 48, 150_000, 128
+#: Chunks that stand this often in a run of texts, of at most this many symbols and candidates, are kept.
+OFTEN, SYMBOLS, BITS = 24, 24, 63
+#: So many occurrences are worked out at once.
+BLOCK = 1 << 14
 _M = (1 << 64) - 1
 
 
@@ -73,6 +80,7 @@ class Vocabulary:
         pairs.sort()
         self.keys, self.merged, self.rank = (np.array(x) for x in zip(*pairs))
         self.rank = self.rank.astype(np.int32)
+        self.place = {k: at for at, k in enumerate(self.keys.tolist())}
 
     def look_up(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         key = a.astype(np.int64) * 65536 + b
@@ -81,43 +89,182 @@ class Vocabulary:
         return np.where(hit, self.merged[at], -1).astype(np.int32), np.where(hit, self.rank[at], NEVER).astype(np.int32)
 
 
-def skipped(key: np.ndarray, start: np.ndarray, middle: np.ndarray, stop: np.ndarray, rate: float) -> np.ndarray:
+def named(start: np.ndarray, middle: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The name of a candidate merge within its chunk."""
+    x = mix(start.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+    return mix(x + middle.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + stop.astype(np.uint64))
+
+
+def skipped(key: np.ndarray, name: np.ndarray, rate: float) -> np.ndarray:
     """The keyed hash of a candidate merge falls below the rate."""
-    x = mix(key.astype(np.uint64) + start.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    x = mix(x + middle.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + stop.astype(np.uint64))
-    return (x >> np.uint64(11)).astype(np.float64) * 2.0**-53 < rate
+    return (mix(key + name) >> np.uint64(11)).astype(np.float64) * 2.0**-53 < rate
+
+
+def _slices(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For all elements of slices: the slice, the place in it, and the place in what it is a slice of."""
+    owner = np.repeat(np.arange(len(count)), count)
+    inner = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    return owner, inner, first[owner] + inner
+
+
+class Shape:
+    """A chunk's symbols, its candidates (begin, middle, end) with rank, merged piece and bit, and ids by skipped bits."""
+
+    __slots__ = ("symbols", "candidates", "kept")
+
+    def __init__(self, symbols: list[int], candidates: dict[tuple[int, int, int], tuple[int, int, int]]):
+        self.symbols, self.candidates = symbols, candidates
+        self.kept: dict[int, tuple[bytes, int]] = {}
+
+    def walk(self, skip: int) -> tuple[bytes, int]:
+        """Ids if just these candidates are skipped, and the candidates that were looked at."""
+        ids, ends, looked = list(self.symbols), list(range(len(self.symbols) + 1)), 0
+        none = (NEVER, -1)
+
+        def best(i: int) -> tuple[int, int]:
+            nonlocal looked
+            found = self.candidates.get((ends[i], ends[i + 1], ends[i + 2]))
+            if found is None:
+                return none
+            looked |= 1 << found[2]
+            return none if skip >> found[2] & 1 else found[:2]
+
+        pairs = [best(i) for i in range(len(ids) - 1)]
+        while pairs:
+            i = min(range(len(pairs)), key=lambda k: pairs[k][0])  # the leftmost of equals
+            if pairs[i][0] == NEVER:
+                break
+            ids[i : i + 2] = [pairs[i][1]]
+            del ends[i + 1], pairs[i]
+            if i < len(pairs):
+                pairs[i] = best(i)
+            if i:
+                pairs[i - 1] = best(i - 1)
+        return array("H", ids).tobytes(), looked
 
 
 class Encoder:
-    def __init__(self, model_file: str, seed: int, rate: float, variants: int):
-        self.v, self.seed, self.rate, self.variants = vocabulary(model_file), seed, rate, max(1, variants if rate > 0 else 1)
-        self.kept: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+    """Encodes texts; with ``variants``, documents share that many keys."""
+
+    def __init__(self, model_file: str, seed: int, rate: float, variants: int = 0):
+        self.v, self.seed, self.rate, self.variants = vocabulary(model_file), seed, rate, variants
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.shapes: list[Shape | None] = [None]  # number 0: worked out by itself
+        self.plain = [b""]
+        # where a chunk's candidates begin in names, how many are looked at if none is skipped, how many there are
+        self.first, self.looked, self.all = [0], [0], [0]
+        self.names = np.zeros(1 << 12, np.uint64)
+        self.n_names = self.n_kept = 0
+
+    def _learn(self, chunk: str) -> None:
+        """Numbers a chunk; one of too many symbols or candidates gets 0."""
+        symbols: list[int] = []
+        for c in chunk[: SYMBOLS + 1]:
+            i = int(self.v.char[ord(c)])
+            symbols += [i] if i >= 0 else self.v.byte[list(SPACE.encode() if c == STAND_IN else c.encode())].tolist()
+        n = len(symbols)
+        found: dict[tuple[int, int, int], int] | None = {} if n <= SYMBOLS else None
+        if found is not None:
+            piece = {(i, i + 1): x for i, x in enumerate(symbols)}
+            for size in range(2, n + 1):
+                for a in range(n - size + 1):
+                    b = a + size
+                    for m in range(a + 1, b):
+                        left, right = piece.get((a, m)), piece.get((m, b))
+                        if left is not None and right is not None and (at := self.v.place.get(left * 65536 + right)) is not None:
+                            piece[a, b] = int(self.v.merged[at])
+                            found[a, m, b] = at
+                if len(found) > BITS:
+                    found = None
+                    break
+        if found is None:
+            self.number[chunk] = 0
+            return
+        self.number[chunk] = len(self.shapes)
+        self.first.append(self.n_names)
+        order = list(found)
+        shape = Shape(symbols, {c: (int(self.v.rank[found[c]]), int(self.v.merged[found[c]]), bit) for bit, c in enumerate(order)})
+        ids, looked = shape.walk(0)
+        order = [c for bit, c in enumerate(order) if looked >> bit & 1] + [c for bit, c in enumerate(order) if not looked >> bit & 1]
+        shape.candidates = {c: (*shape.candidates[c][:2], bit) for bit, c in enumerate(order)}
+        shape.kept[0] = ids, (1 << looked.bit_count()) - 1
+        self.shapes.append(shape)
+        self.plain.append(ids)
+        self.looked.append(looked.bit_count())
+        self.all.append(len(order))
+        if order:
+            stop = self.n_names + len(order)
+            if stop > len(self.names):
+                self.names = np.concatenate([self.names, np.zeros(max(len(self.names), len(order)), np.uint64)])
+            self.names[self.n_names : stop] = named(*np.array(order).T)
+            self.n_names = stop
+
+    def _ids(self, shape: Shape, skip: int) -> bytes:
+        """Ids of a chunk of which these candidates are skipped, by those of them that merging looks at."""
+        looked = some = 0
+        while True:
+            if (found := shape.kept.get(some)) is None:
+                found = shape.kept[some] = shape.walk(some)
+                self.n_kept += 1
+            looked |= found[1]
+            if skip & looked == some:
+                return found[0]
+            some = skip & looked
 
     def encode(self, rows: list[tuple[int, str]]) -> list[np.ndarray]:
         """Ids of texts, each with its document's key (any integer)."""
-        chunked = []
-        wanted: list[dict[str, None]] = [{} for _ in self.kept]
-        if sum(map(len, self.kept)) > KEPT:
-            for kept in self.kept:
-                kept.clear()
-        for key, text in rows:
-            k = key % self.variants
-            if not text:
-                chunked.append((k, []))
-                continue
-            text = text.replace(SPACE, STAND_IN) if SPACE in text else text
-            chunks = CHUNK.findall(SPACE + text.replace(" ", SPACE))
-            chunked.append((k, chunks))
-            kept = self.kept[k]
-            wanted[k].update(dict.fromkeys(c for c in set(chunks) if c not in kept))
-        for k, missing in enumerate(wanted):
-            if missing:
-                names = list(missing)
-                self.kept[k].update(zip(names, self.segment(names, k)))
-        return [np.frombuffer(b"".join([self.kept[k][c] for c in chunks]), np.uint16) for k, chunks in chunked]
-
-    def segment(self, chunks: list[str], variant: int) -> list[bytes]:
-        """Ids of each chunk, as packed 16-bit numbers."""
+        if self.n_kept + len(self.number) > KEPT:
+            self._forget()
+        chunks, ends = [], [0]
+        for _, text in rows:
+            if text:
+                text = text.replace(SPACE, STAND_IN) if SPACE in text else text
+                chunks += CHUNK.findall(SPACE + text.replace(" ", SPACE))
+            ends.append(len(chunks))
+        number = self.number
+        for c, n in Counter(chunks).items():
+            if n >= OFTEN and c not in number:
+                self._learn(c)
+        numbers = [number.get(c, 0) for c in chunks]
+        plain = self.plain
+        out = [plain[t] for t in numbers]
+        which = np.array(numbers, np.int64)
+        first, looked, every = (np.array(x, np.int64) for x in (self.first, self.looked, self.all))
+        own = mix(np.array([((k % self.variants if self.variants else k) + self.seed * 1_000_003) & _M for k, _ in rows], np.uint64))
+        size = np.diff(ends)
+        keys = np.repeat(own, size) + (np.arange(len(chunks)) - np.repeat(ends[:-1], size)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        keys = mix(keys)
+        if self.rate > 0:
+            for lo in range(0, len(chunks), BLOCK):
+                t, key = which[lo : lo + BLOCK], keys[lo : lo + BLOCK]
+                owner, _, at = _slices(first[t], looked[t])
+                hit = np.zeros(len(t), bool)
+                hit[owner[skipped(key[owner], self.names[at], self.rate)]] = True
+                hit = np.flatnonzero(hit)
+                if not len(hit):
+                    continue
+                owner, bit, at = _slices(first[t[hit]], every[t[hit]])
+                bits = skipped(key[hit][owner], self.names[at], self.rate).astype(np.uint64) << bit.astype(np.uint64)
+                count = every[t[hit]]
+                sets = np.bitwise_or.reduceat(bits, np.cumsum(count) - count)
+                for i, k, skip in zip((hit + lo).tolist(), t[hit].tolist(), sets.tolist()):
+                    out[i] = self._ids(self.shapes[k], skip)
+        for lo in range(0, len(chunks), BLOCK):
+            rest = lo + np.flatnonzero(which[lo : lo + BLOCK] == 0)
+            if len(rest):
+                for i, ids in zip(rest.tolist(), self._segment([chunks[i] for i in rest.tolist()], keys[rest])):
+                    out[i] = ids
+        return [np.frombuffer(b"".join(out[a:b]), np.uint16) for a, b in zip(ends, ends[1:])]
+
+    def segment(self, chunks: list[str], key: int) -> list[bytes]:
+        """Ids of each chunk, as packed 16-bit numbers, if all stand first in a document of this key."""
+        own = mix(np.full(len(chunks), (key + self.seed * 1_000_003) & _M, np.uint64))
+        return self._segment(chunks, mix(own))
+
+    def _segment(self, chunks: list[str], hashes: np.ndarray) -> list[bytes]:
         points = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         owner = np.repeat(np.arange(len(chunks)), [len(c) for c in chunks])
         symbols = self.v.char[points]
@@ -134,7 +281,6 @@ class Encoder:
             for i in out:
                 wide[begin[i] : begin[i] + size[i]] = spread[points[i]]
             symbols, owner = wide, np.repeat(owner, size)
-        hashes = mix(np.array([zlib.crc32(c.encode("utf-8", "surrogatepass")) for c in chunks], np.uint64) + np.uint64((self.seed * 1_000_003 + variant * 7919) & _M))
         counts = np.bincount(owner, minlength=len(chunks))
         first = np.cumsum(counts) - counts
         found: list[bytes] = [b""] * len(chunks)
@@ -149,7 +295,7 @@ class Encoder:
         merged, rank = self.v.look_up(a, b)
         some = np.flatnonzero(rank < NEVER)
         if self.rate > 0 and len(some):
-            drop = skipped(key[some], start[some], middle[some], stop[some], self.rate)
+            drop = skipped(key[some], named(start[some], middle[some], stop[some]), self.rate)
             rank[some[drop]] = NEVER
         return merged, rank
 
@@ -158,7 +304,8 @@ class Encoder:
         n = len(symbol)
         if not n:
             return
-        stop = start + 1
+        owner, start = owner.astype(np.int32), start.astype(np.int32)
+        stop = start + np.int32(1)
         merged, rank = np.full(n, -1, np.int32), np.full(n, NEVER, np.int32)
         pair = np.flatnonzero(owner[:-1] == owner[1:])
         if len(pair):
@@ -184,7 +331,9 @@ class Encoder:
             left[at + 1] = False
             symbol, owner, start, stop, merged, rank = (x[left] for x in (symbol, owner, start, stop, merged, rank))
             at -= np.arange(len(at))
-            redo = np.unique(np.concatenate([at, at[at > 0] - 1]))
+            redo = np.zeros(len(symbol), bool)
+            redo[at] = redo[at[at > 0] - 1] = True
+            redo = np.flatnonzero(redo)
             inside = np.zeros(len(redo), bool)
             some = redo < len(symbol) - 1
             inside[some] = owner[redo[some]] == owner[redo[some] + 1]
@@ -229,8 +378,8 @@ class Encoder:
 
 
 @lru_cache(4)
-def encoder(model_file: str, seed: int, rate: float, variants: int) -> Encoder:
-    return Encoder(model_file, seed, rate, variants)
+def encoder(model_file: str, seed: int, rate: float) -> Encoder:
+    return Encoder(model_file, seed, rate)
 
 
 @lru_cache(2)
@@ -238,13 +387,13 @@ def vocabulary(model_file: str) -> Vocabulary:
     return Vocabulary(model_file)
 
 
-def encode(docs: DataFrame, model_file: str, key: str | Column = "doc_id", seed: int = 0, dropout: float = 0.1, variants: int = 4, column: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, model_file: str, key: str | Column = "doc_id", seed: int = 0, dropout: float = 0.1, column: str = "ids") -> DataFrame:
     """``docs`` with the ids of text in ``column``; the document's key and the seed choose the merges that are skipped."""
     key = F.col(key) if isinstance(key, str) else key
 
     @F.arrow_udf("array<int>")
     def ids(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        own = encoder(model_file, seed, dropout, variants)
+        own = encoder(model_file, seed, dropout)
         for keys, texts in columns:
             found = []
             for at in range(0, len(texts), ROWS):

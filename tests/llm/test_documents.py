@@ -331,6 +331,27 @@ def test_heap_and_side_by_side_agree(monkeypatch):
     assert e.segment(chunks, 1) == together
 
 
+def test_each_occurrence_has_its_own_dropout(docs, monkeypatch):
+    """Within a document and over documents of one text, and as merging each occurrence by itself gives."""
+    word = "unbelievably"
+    rows = [(i, " ".join([word] * 20)) for i in range(40)]
+    got = [tuple(r.ids) for r in sentencepiece_dropout.encode(docs(rows), SP, seed=1, dropout=0.3).collect()]
+    assert len(set(got)) == 40
+    assert got == [tuple(r.ids) for r in sentencepiece_dropout.encode(docs(rows).repartition(3), SP, seed=1, dropout=0.3).orderBy("doc_id").collect()]
+    e = sentencepiece_dropout.Encoder(SP, 5, 0.2)
+    seen = {e.encode([(7, f"{'x ' * n}{word}")])[0].tobytes()[-6:] for n in range(40)}
+    assert len(seen) > 4
+    texts = [f"{word} naïve 🙂 {'ab' * 40} the_of {word}, ▁ a1b2c3d4 antidisestablishmentarianism \n  {word * 9}", word, ""]
+    for key, text in enumerate(texts * 20):
+        chunks = sentencepiece_dropout.CHUNK.findall("▁" + text.replace("▁", "\ud800").replace(" ", "▁")) if text else []
+        own = sentencepiece_dropout.mix(np.array([key + 5 * 1_000_003], np.uint64))
+        keys = sentencepiece_dropout.mix(own + np.arange(len(chunks)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        alone = b"".join(e._segment([c], keys[n : n + 1])[0] for n, c in enumerate(chunks))
+        for often in (10**9, 1):
+            monkeypatch.setattr(sentencepiece_dropout, "OFTEN", often)
+            assert e.encode([(key, text)])[0].tobytes() == alone
+
+
 def test_sentencepiece_query(spark, sf):
     assert op3_sentencepiece(spark, sf).where(~F.col("lossless")).count() == 0
 
