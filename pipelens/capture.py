@@ -14,6 +14,7 @@ import sys
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame as ClassicDataFrame
@@ -73,13 +74,49 @@ def _dropna(original, self, how="any", thresh=None, subset=None):
     return shown(tracked(self).dropna(how, thresh, [subset] if isinstance(subset, str) else subset))
 
 
+def _listed(subset) -> list[str] | None:
+    return [subset] if isinstance(subset, str) else list(subset) if subset else None
+
+
 def _replace(original, self, to_replace, value=None, subset=None):
-    return shown(tracked(self).replace(to_replace, value))
+    return shown(tracked(self).replace(to_replace, value, _listed(subset)))
+
+
+def _fillna(original, self, value, subset=None):
+    return shown(tracked(self).fillna(value, _listed(subset)))
+
+
+def _drop(original, self, *columns):
+    return shown(tracked(self).drop(*columns)) if _names(columns) else original(self, *columns)
+
+
+def _with_columns(original, self, values):
+    return shown(tracked(self).with_columns(values))
+
+
+def _renamed(original, self, existing, new):
+    return shown(tracked(self).rename(existing, new)) if existing in self.columns else self
+
+
+def _distinct(original, self):
+    return shown(tracked(self).distinct())
+
+
+def _drop_duplicates(original, self, subset=None):
+    return shown(tracked(self).distinct(_listed(subset)))
+
+
+def _union(original, self, other):
+    return shown(tracked(self).union(tracked(other)))
+
+
+def _union_by_name(original, self, other, allowMissingColumns=False):
+    if allowMissingColumns:
+        return original(self, other, allowMissingColumns)
+    return shown(tracked(self).union(tracked(other), by_name=True))
 
 
 def _join(original, self, other, on=None, how="inner"):
-    if isinstance(on, Column) or (isinstance(on, (list, tuple)) and any(isinstance(c, Column) for c in on)):
-        raise NotImplementedError("recorded joins take column names")
     return shown(tracked(self).join(tracked(other), on=on, how=how or "inner"))
 
 
@@ -116,7 +153,8 @@ def _create(original, self, data, *args, **kwargs):
     recorder = active()
     with suspended(recorder):
         df = original(self, data, *args, **kwargs)
-        rows = df.withColumn("__rid", F.monotonically_increasing_id())
+        given = isinstance(data, (list, tuple, pd.DataFrame))  # rows of the program itself come in the same places again
+        rows = df.withColumn("__rid", F.monotonically_increasing_id()) if given else sources.numbered(df)
     return shown(InspectedFrame.from_source(sources._normalized(rows), F.col("__rid"), function=("pyspark.sql.SparkSession", "createDataFrame"), recorder=recorder))
 
 
@@ -128,13 +166,13 @@ def _read_csv(original, self, path, *args, **kwargs):
     recorder = active()
     with suspended(recorder):
         df = original(self, path, *args, **kwargs)
-        rows = sources._normalized(df.withColumn("__rid", F.monotonically_increasing_id()))
+        rows = sources._normalized(sources.numbered(df))
     name = path.rstrip("/").rpartition("/")[2] if isinstance(path, str) else None
     return shown(InspectedFrame.from_source(rows, F.col("__rid"), function=(sources.READER, "csv"), description=name, recorder=recorder))
 
 
 def _table(original, self, name):
-    return shown(sources.named_dataset(self._spark if isinstance(self, DataFrameReader) else self, name, F.monotonically_increasing_id()))
+    return shown(sources.named_dataset(self._spark if isinstance(self, DataFrameReader) else self, name))
 
 
 #: What is replaced: class, method, and the function that takes the original, the object and the call's arguments.
@@ -145,7 +183,16 @@ PATCHES: list[Patch] = [
     (ClassicDataFrame, "__getitem__", _getitem),
     (ClassicDataFrame, "withColumn", _with_column),
     (ClassicDataFrame, "dropna", _dropna),
+    (ClassicDataFrame, "withColumns", _with_columns),
+    (ClassicDataFrame, "withColumnRenamed", _renamed),
+    (ClassicDataFrame, "drop", _drop),
+    (ClassicDataFrame, "fillna", _fillna),
     (ClassicDataFrame, "replace", _replace),
+    (ClassicDataFrame, "distinct", _distinct),
+    (ClassicDataFrame, "dropDuplicates", _drop_duplicates),
+    (ClassicDataFrame, "union", _union),
+    (ClassicDataFrame, "unionAll", _union),
+    (ClassicDataFrame, "unionByName", _union_by_name),
     (ClassicDataFrame, "join", _join),
     (ClassicDataFrame, "crossJoin", _cross_join),
     (ClassicDataFrame, "groupBy", _group_by),
@@ -155,6 +202,7 @@ PATCHES: list[Patch] = [
     (DataFrameReader, "parquet", _read_parquet),
     (DataFrameReader, "csv", _read_csv),
     (DataFrameReader, "table", _table),
+    (SparkSession, "table", _table),
     (SparkSession, "createDataFrame", _create),
 ]
 

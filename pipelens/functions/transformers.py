@@ -1,13 +1,15 @@
-"""Feature transformers: fitted by one aggregation, applied as column expressions.
+"""Feature transformers: fitted by aggregations, applied as column expressions.
 
-``fit`` collects what it learns (a few numbers a column, or the categories) and keeps it as literals, so that applying a
-transformer is a projection that stays in the same stage as its input, and no data moves. Outputs are the column
-``array``; an imputer and a function transformer keep their input's names.
+``fit`` collects what it learns where that is a few numbers a column or at most LITERALS categories, and keeps it as
+literals, so that applying a transformer is a projection that stays in the same stage as its input, and no data moves.
+More categories, and word vectors, are written as a table that rows are joined with. Outputs are the column ``array``;
+an imputer and a function transformer keep their input's names.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
@@ -19,10 +21,11 @@ from pyspark.sql import functions as F
 
 from pipelens.operators.frame import ORD, InspectedFrame, is_hidden, q, tracked
 from pipelens.plans.model import OperatorType
+from pipelens.storage import order_statistics, ordinal, staged
 
 MODULE = "pipelens.functions"
-#: A column with more categories than this is refused by the one-hot encoder: its vectors would not fit.
-MAX_CATEGORIES = 100_000
+#: Up to this many categories of a column are literals of the plan; more are a table.
+LITERALS = 1000
 
 
 class Transformer(ABC):
@@ -39,6 +42,10 @@ class Transformer(ABC):
     def outputs(self, columns: Sequence[str]) -> dict[str, Column]:
         """Output columns by name; of those that do not keep names one, ``array``."""
 
+    def attach(self, df: DataFrame, columns: Sequence[str]) -> DataFrame:
+        """``df``, a row for a row, with what ``outputs`` looks up in tables, in columns that start with ``__look``."""
+        return df
+
     def fit(self, frame: InspectedFrame) -> Transformer:
         frame = tracked(frame)
         self.learn(frame.hidden, frame.columns)
@@ -50,7 +57,7 @@ class Transformer(ABC):
         source = [q(frame.columns[0]).alias("__in")] if type(self).__name__ == "Word2Vec" else []
 
         def change(df: DataFrame) -> DataFrame:
-            return df.select(*[v.alias(k) for k, v in made.items()], *source, *[q(c) for c in df.columns if is_hidden(c) and c != "__in"])
+            return self.attach(df, frame.columns).select(*[v.alias(k) for k, v in made.items()], *source, *[q(c) for c in df.columns if is_hidden(c) and c != "__in"])
 
         said = description or self.describe()
         return frame._unary(OperatorType.TRANSFORMER, (MODULE, type(self).__name__), said, change, list(made), self.arguments(), self.imputes)
@@ -92,30 +99,59 @@ class StandardScaler(Transformer):
         return _array([(q(c).cast("double") - F.lit(m)) / F.lit(s) for c, m, s in zip(columns, shift, scale)])
 
 
+def look_up(df: DataFrame, column: str, table: DataFrame, name: str) -> DataFrame:
+    """``df`` with ``name`` from ``table(__key, name)``, whose keys are distinct; null where there is none."""
+    return df.join(table, q(column).eqNullSafe(F.col("__key")), "left").drop("__key")
+
+
 class OneHotEncoder(Transformer):
-    """0/1 for each category, sorted. ``handle_unknown``: "error" fails on a category that fit did not see, "ignore" gives zeros."""
+    """0/1 for each category, sorted. ``handle_unknown``: "error" fails on a category that fit did not see, "ignore" gives zeros.
+
+    A row's array has a number for each category, however many there are.
+    """
 
     def __init__(self, handle_unknown: str = "error", sparse: bool = False):
         self.args = {"handle_unknown": handle_unknown, "sparse": sparse}
 
     def learn(self, df, columns):
-        self.categories = []
+        self.categories: list[list | None] = []
+        self.tables: list[DataFrame | None] = []
+        self.sizes, self.names = [], []
         for c in columns:
-            rows = df.select(q(c).alias("v")).distinct().orderBy(F.col("v").asc_nulls_last()).limit(MAX_CATEGORIES + 1).collect()
-            if len(rows) > MAX_CATEGORIES:
-                raise ValueError(f"{c} has more than {MAX_CATEGORIES} categories")
-            self.categories.append([r.v for r in rows])
+            values = df.select(q(c).alias("__key")).distinct()
+            order = F.col("__key").asc_nulls_last()
+            rows = values.orderBy(order).limit(LITERALS + 1).collect()
+            few = len(rows) <= LITERALS
+            name = f"__look_{uuid.uuid4().hex}"
+            table = None if few else staged(ordinal(values, [order], name), "categories")
+            self.categories.append([r[0] for r in rows] if few else None)
+            self.tables.append(table)
+            self.sizes.append(len(rows) if few else table.count())
+            self.names.append(name)
+
+    def attach(self, df, columns):
+        for c, table, name in zip(columns, self.tables, self.names):
+            if table is not None:
+                df = look_up(df, c, table, name)
+        return df
+
+    def _code(self, c: str, values: list | None, name: str) -> Column:
+        if values is None:
+            return q(name).cast("int")
+        known = [x for i, v in enumerate(values) if v is not None for x in (F.lit(v), F.lit(i))]
+        at = F.try_element_at(F.create_map(*known), q(c)) if known else F.lit(None).cast("int")
+        return F.when(q(c).isNull(), F.lit(len(values) - 1)).otherwise(at) if None in values else at
 
     def outputs(self, columns):
         parts = []
-        for c, values in zip(columns, self.categories):
-            codes = F.create_map(*[x for i, v in enumerate(values) if v is not None for x in (F.lit(v), F.lit(i))]) if any(v is not None for v in values) else None
-            at = F.try_element_at(codes, q(c)) if codes is not None else F.lit(None).cast("int")
-            if None in values:
-                at = F.when(q(c).isNull(), F.lit(len(values) - 1)).otherwise(at)
+        for c, values, size, name in zip(columns, self.categories, self.sizes, self.names):
+            at = self._code(c, values, name)
             if self.args["handle_unknown"] == "error":
                 at = F.coalesce(at, F.raise_error(F.concat(F.lit(f"unknown category in {c}: "), F.coalesce(q(c).cast("string"), F.lit("null")))).cast("int"))
-            parts.append(F.array(*[F.when(at == i, 1.0).otherwise(0.0) for i in range(len(values))]) if len(values) <= 64 else let(at, hot(len(values))))
+            if not size:
+                parts.append(F.array().cast("array<double>"))
+            else:
+                parts.append(F.array(*[F.when(at == i, 1.0).otherwise(0.0) for i in range(size)]) if size <= 64 else let(at, hot(size)))
         return {"array": F.concat(*parts)}
 
 
@@ -142,40 +178,57 @@ class SimpleImputer(Transformer):
                 best = df.groupBy(self._value(c).alias("v")).count().where("v is not null").orderBy(F.desc("count"), "v").limit(1).collect()
                 self.fill.append(best[0].v if best else None)
             return
-        f = {"mean": F.avg, "median": lambda x: F.percentile(x, F.lit(0.5))}[how]
-        self.fill = list(df.agg(*[f(self._value(c)).alias(f"v{i}") for i, c in enumerate(columns)]).first())
+        if how == "median":
+            self.fill = [order_statistics(df, self._value(c), [0.5])[0] for c in columns]
+        else:
+            self.fill = list(df.agg(*[F.avg(self._value(c)).alias(f"v{i}") for i, c in enumerate(columns)]).first())
 
     def outputs(self, columns):
         return {c: F.coalesce(self._value(c), F.lit(v)) if v is not None else self._value(c) for c, v in zip(columns, self.fill)}
 
 
 class KBinsDiscretizer(Transformer):
-    """Bins of equal width ("uniform"), of equal counts ("quantile") or around 1-d k-means centres; values outside are clipped."""
+    """Bins of equal width ("uniform"), of equal counts ("quantile") or around 1-d k-means centres; values outside are clipped.
 
-    def __init__(self, n_bins: int = 5, encode: str = "ordinal", strategy: str = "uniform", exact: bool = True, seed: int = 0):
+    Quantiles are exact; ``exact=False`` takes sketches. K-means starts at the middles of bins of equal width and goes on
+    until no centre moves, over counts of the distinct values.
+    """
+
+    def __init__(self, n_bins: int = 5, encode: str = "ordinal", strategy: str = "uniform", exact: bool = True, max_iter: int = 300):
         self.args = {"n_bins": n_bins, "encode": encode, "strategy": strategy}
-        self.exact, self.seed = exact, seed
+        self.exact, self.max_iter = exact, max_iter
 
     def learn(self, df, columns):
         n, how = self.args["n_bins"], self.args["strategy"]
-        if how == "uniform":
-            r = df.agg(*[f(q(c).cast("double")).alias(f"{k}{i}") for i, c in enumerate(columns) for k, f in (("lo", F.min), ("hi", F.max))]).first()
-            self.edges = [list(np.linspace(r[f"lo{i}"], r[f"hi{i}"], n + 1)) for i in range(len(columns))]
-        elif how == "quantile":
-            shares = F.array(*[F.lit(k / n) for k in range(n + 1)])
-            take = F.percentile if self.exact else F.percentile_approx
-            r = df.agg(*[take(q(c).cast("double"), shares).alias(f"v{i}") for i, c in enumerate(columns)]).first()
-            self.edges = [sorted(set(r[f"v{i}"])) for i in range(len(columns))]
-        else:
-            from pyspark.ml.clustering import KMeans
-            from pyspark.ml.functions import array_to_vector
-
-            self.edges = []
-            for c in columns:
-                rows = df.where(q(c).isNotNull()).select(array_to_vector(F.array(q(c).cast("double"))).alias("features"), q(c).cast("double").alias("v"))
-                centres = sorted(float(x[0]) for x in KMeans(k=n, seed=self.seed).fit(rows).clusterCenters())
-                lo, hi = rows.agg(F.min("v"), F.max("v")).first()
-                self.edges.append([lo, *[(a + b) / 2 for a, b in zip(centres, centres[1:])], hi])
+        if how == "quantile":
+            shares = [k / n for k in range(n + 1)]
+            if self.exact:
+                found = [order_statistics(df, q(c), shares) for c in columns]
+            else:
+                take = [F.percentile_approx(q(c).cast("double"), shares).alias(f"v{i}") for i, c in enumerate(columns)]
+                found = [v or [] for v in df.agg(*take).first()]
+            self.edges = [sorted({v for v in f if v is not None}) for f in found]
+            return
+        r = df.agg(*[f(q(c).cast("double")).alias(f"{k}{i}") for i, c in enumerate(columns) for k, f in (("lo", F.min), ("hi", F.max))]).first()
+        spans = [(r[f"lo{i}"], r[f"hi{i}"]) for i in range(len(columns))]
+        self.edges = [[] if lo is None else [float(e) for e in np.linspace(lo, hi, n + 1)] for lo, hi in spans]
+        if how == "kmeans":
+            self.edges = [self._around_centres(df, c, edges) if edges else [] for c, edges in zip(columns, self.edges)]
+
+    def _around_centres(self, df: DataFrame, c: str, edges: list[float]) -> list[float]:
+        values = staged(df.select(q(c).cast("double").alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n")), "values")
+        centres = [(a + b) / 2 for a, b in zip(edges, edges[1:])]
+        for _ in range(self.max_iter):
+            between = [(a + b) / 2 for a, b in zip(centres, centres[1:])]
+            own = sum((F.when(F.col("v") >= F.lit(e), 1).otherwise(0) for e in between), F.lit(0))
+            found = values.groupBy(own.alias("k")).agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("m")).collect()  # a row for each bin
+            new = list(centres)
+            for r in found:
+                new[r["k"]] = r["m"]
+            if new == centres:
+                break
+            centres = new
+        return [edges[0], *[(a + b) / 2 for a, b in zip(centres, centres[1:])], edges[-1]]
 
     def outputs(self, columns):
         out = []
@@ -216,20 +269,30 @@ class FunctionTransformer(Transformer):
 TOKEN = r"\b\w\w+\b"
 
 
-def murmur3(data: bytes, seed: int = 0) -> int:
-    """Signed 32-bit MurmurHash3 (x86), as published."""
-    mask, h, n = 0xFFFFFFFF, seed, len(data)
-    scramble = lambda k: (((k * 0xCC9E2D51 & mask) << 15 | (k * 0xCC9E2D51 & mask) >> 17) & mask) * 0x1B873593 & mask
-    for i in range(0, n - n % 4, 4):
-        h ^= scramble(int.from_bytes(data[i : i + 4], "little"))
-        h = ((h << 13 | h >> 19) & mask) * 5 + 0xE6546B64 & mask
-    if n % 4:
-        h ^= scramble(int.from_bytes(data[n - n % 4 :], "little"))
-    h ^= n
-    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
-        h = (h ^ h >> shift) * factor & mask
-    h ^= h >> 16
-    return h - (1 << 32) if h >> 31 else h
+def murmur3(words: Sequence[bytes], seed: int = 0) -> np.ndarray:
+    """Signed 32-bit MurmurHash3 (x86), as published, of many words at once."""
+    sizes = np.array([len(w) for w in words], np.int64)
+    out = np.full(len(words), seed, np.uint32)
+
+    def scramble(k: np.ndarray) -> np.ndarray:
+        k = k * np.uint32(0xCC9E2D51)
+        return (k << np.uint32(15) | k >> np.uint32(17)) * np.uint32(0x1B873593)
+
+    blocks = sizes // 4
+    for n in np.unique(blocks):  # words of as many whole blocks of four bytes together
+        at = np.flatnonzero(blocks == n)
+        width = 4 * (int(n) + 1)
+        data = np.frombuffer(b"".join(words[i].ljust(width, b"\0") for i in at), "<u4").reshape(len(at), -1)
+        h = out[at]
+        for j in range(n):
+            h = h ^ scramble(data[:, j])
+            h = (h << np.uint32(13) | h >> np.uint32(19)) * np.uint32(5) + np.uint32(0xE6546B64)
+        h = h ^ scramble(data[:, n])  # what is left over, padded with zeros; zero changes nothing
+        h = h ^ sizes[at].astype(np.uint32)
+        for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+            h = (h ^ h >> np.uint32(shift)) * np.uint32(factor)
+        out[at] = h ^ h >> np.uint32(16)
+    return out.view(np.int32)
 
 
 class HashingVectorizer(Transformer):
@@ -253,24 +316,23 @@ class HashingVectorizer(Transformer):
 
             @F.pandas_udf("array<double>")
             def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-                known: dict[str, int] = {}
                 token = re.compile(TOKEN)
                 for batch in batches:
-                    out = []
+                    grams, rows = [], []
                     for text in batch:
-                        words, v = token.findall((text or "").lower()), np.zeros(n)
+                        words = token.findall((text or "").lower())
+                        before = len(grams)
                         for k in range(lo, hi + 1):
-                            for i in range(len(words) - k + 1):
-                                t = " ".join(words[i : i + k])
-                                h = known.get(t)
-                                if h is None:
-                                    if len(known) > 500_000:
-                                        known.clear()
-                                    h = known[t] = murmur3(t.encode())
-                                v[abs(h) % n] += 1 if h >= 0 else -1
-                        size = np.sqrt((v * v).sum()) if norm == "l2" else 0
-                        out.append(v / size if size else v)
-                    yield pd.Series(out)
+                            grams += words if k == 1 else [" ".join(words[i : i + k]) for i in range(len(words) - k + 1)]
+                        rows.append(len(grams) - before)
+                    different = {t: i for i, t in enumerate(dict.fromkeys(grams))}
+                    h = murmur3([t.encode() for t in different]).astype(np.int64)
+                    h = h[np.fromiter((different[t] for t in grams), np.int64, len(grams))]
+                    v = np.zeros((len(batch), n))
+                    np.add.at(v, (np.repeat(np.arange(len(batch)), rows), np.abs(h) % n), np.where(h >= 0, 1.0, -1.0))
+                    if norm == "l2":
+                        v /= np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-300)
+                    yield pd.Series(list(v))
 
             return {"array": hashed(q(c).cast("string"))}
 
@@ -301,7 +363,13 @@ class HashingVectorizer(Transformer):
 
 
 class Word2Vec(Transformer):
-    """Embeddings of a column's values as words of one sentence; unknown and rare words are zero vectors."""
+    """Embeddings of a column's values as words of one sentence; unknown and rare words are zero vectors.
+
+    The vectors are a table that rows are joined with. Words train in as many parts as their number asks for.
+    """
+
+    #: Rows that one part trains on, about.
+    PART_ROWS = 5_000_000
 
     def __init__(self, vector_size: int = 100, min_count: int = 5, seed: int = 0, max_iter: int = 1, window: int = 5):
         self.args = {"vector_size": vector_size, "min_count": min_count, "seed": seed, "max_iter": max_iter, "window": window}
@@ -309,24 +377,34 @@ class Word2Vec(Transformer):
     def learn(self, df, columns):
         from pyspark.ml.feature import Word2Vec as Trainer
 
-        self.vectors: dict[str, list[float]] = {}
+        self.vectors: DataFrame | None = None
+        self.name = f"__look_{uuid.uuid4().hex}"
         words = q(columns[0]).cast("string")
-        # Sentences of up to 1,000 words in order of the rows' hash, so that no task holds the whole column.
-        frequent = df.where(words.isNotNull()).groupBy(words.alias("w")).count().where(F.col("count") >= self.args["min_count"])
+        known = df.where(words.isNotNull())
+        frequent = known.groupBy(words.alias("w")).count().where(F.col("count") >= self.args["min_count"])
         if frequent.isEmpty():
             return
-        size = max(1, df.count() // 1000)
-        sentences = df.where(words.isNotNull()).groupBy(F.pmod(F.xxhash64(ORD) if ORD in df.columns else F.xxhash64(words), F.lit(size)).alias("g")).agg(F.collect_list(words).alias("words"))
+        # Sentences of about 1,000 words in order of the rows' hash, so that no task holds the whole column.
+        rows = known.count()
+        group = F.pmod(F.xxhash64(ORD) if ORD in df.columns else F.xxhash64(words), F.lit(max(1, rows // 1000)))
+        sentences = known.groupBy(group.alias("g")).agg(F.collect_list(words).alias("words"))
         a = self.args
-        model = Trainer(vectorSize=a["vector_size"], minCount=a["min_count"], seed=a["seed"], maxIter=a["max_iter"], windowSize=a["window"], inputCol="words", outputCol="v", numPartitions=1).fit(sentences)
-        self.vectors = {r.word: [float(x) for x in r.vector] for r in model.getVectors().limit(MAX_CATEGORIES).collect()}
+        model = Trainer(
+            vectorSize=a["vector_size"], minCount=a["min_count"], seed=a["seed"], maxIter=a["max_iter"], windowSize=a["window"],
+            inputCol="words", outputCol="v", numPartitions=1 + rows // self.PART_ROWS,
+        ).fit(sentences)
+        from pyspark.ml.functions import vector_to_array
+
+        self.vectors = staged(model.getVectors().select(F.col("word").alias("__key"), vector_to_array("vector").alias(self.name)), "vectors")
+
+    def attach(self, df, columns):
+        if self.vectors is None:
+            return df
+        return df.join(self.vectors, q(columns[0]).cast("string") == F.col("__key"), "left").drop("__key")
 
     def outputs(self, columns):
         zeros = F.array_repeat(F.lit(0.0), self.args["vector_size"])
-        if not self.vectors:
-            return {"array": zeros}
-        table = F.create_map(*[x for w, v in self.vectors.items() for x in (F.lit(w), F.array(*[F.lit(f) for f in v]))])
-        return {"array": F.coalesce(F.try_element_at(table, q(columns[0]).cast("string")), zeros)}
+        return {"array": zeros if self.vectors is None else F.coalesce(q(self.name), zeros)}
 
 
 class Pipeline(Transformer):
@@ -401,10 +479,8 @@ class ColumnTransformer:
             base = base.withColumns({v: q(c) for c, v in names.items()})
             for k, step in enumerate(steps):
                 part = step.fit_transform(part) if fit else step.transform(part)
-                view = base.select(*[q(v).alias(c) for c, v in names.items()])
-                outputs = step.outputs(list(view.columns))
-                base = self._extend(base, names, outputs, f"__b{i}_{k + 1}_")
-                names = {c: f"__b{i}_{k + 1}_{c}" for c in outputs}
+                base = self._extend(base, names, step, f"__b{i}_{k + 1}_")
+                names = {c: f"__b{i}_{k + 1}_{c}" for c in step.outputs(list(names))}
             made.append(part)
             parts.append(q(names["array"]) if list(names) == ["array"] else F.array(*[q(v).cast("double") for v in names.values()]))
         recorder = frame.recorder
@@ -416,12 +492,13 @@ class ColumnTransformer:
         return InspectedFrame(hidden, node, recorder)
 
     @staticmethod
-    def _extend(base: DataFrame, names: dict[str, str], outputs: dict[str, Column], prefix: str) -> DataFrame:
-        """``base`` with the outputs, whose expressions speak of the branch's own column names."""
+    def _extend(base: DataFrame, names: dict[str, str], step: Transformer, prefix: str) -> DataFrame:
+        """``base`` with the step's outputs, whose expressions speak of the branch's own column names."""
         saved = {c: f"__saved_{c}" for c in names if c in base.columns}
         out = base.withColumns({v: q(c) for c, v in saved.items()}).withColumns({c: q(v) for c, v in names.items()})
-        out = out.withColumns({prefix + c: v for c, v in outputs.items()})
-        out = out.drop(*[c for c in names if c not in saved])
+        out = step.attach(out, list(names))
+        out = out.withColumns({prefix + c: v for c, v in step.outputs(list(names)).items()})
+        out = out.drop(*[c for c in names if c not in saved], *[c for c in out.columns if c.startswith("__look")])
         return out.withColumns({c: q(v) for c, v in saved.items()}).drop(*saved.values())
 
     def fit_transform(self, frame: InspectedFrame) -> InspectedFrame:

@@ -6,10 +6,10 @@ from collections.abc import Sequence
 from functools import reduce
 from typing import TYPE_CHECKING
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pipelens.inspections.base import Annotation, ColumnAnnotation, Inspection, IntersectionalAnnotation, LineageAnnotation, is_missing
+from pipelens.inspections.base import RESULT_ROWS, Annotation, ColumnAnnotation, Inspection, IntersectionalAnnotation, LineageAnnotation, collected, is_missing
 from pipelens.plans.model import SOURCES, LineageId, OperatorType
 
 if TYPE_CHECKING:
@@ -17,7 +17,7 @@ if TYPE_CHECKING:
 
 __all__ = [
     "Annotation", "ArgumentCapturing", "ColumnPropagation", "CompletenessOfColumns", "CountDistinctOfColumns", "EmptyInspection",
-    "HistogramForColumns", "Inspection", "IntersectionalHistogramForColumns", "MaterializeFirstOutputRows", "MissingEmbeddings", "RowLineage",
+    "HistogramForColumns", "Inspection", "IntersectionalHistogramForColumns", "MaterializeFirstOutputRows", "MissingEmbeddings", "RESULT_ROWS", "RowLineage",
 ]
 
 
@@ -62,12 +62,15 @@ class HistogramForColumns(Inspection):
         column = F.element_at(F.array(*[F.lit(c) for c in columns]), which + 1)
         return sets.select(column.alias("column"), value.alias("value"), "count")
 
-    def result(self, at: InspectedFrame) -> dict[str, dict[str | None, int]] | None:
+    def result(self, at: InspectedFrame) -> dict[str, dict[str | None, int]] | DataFrame | None:
         found = self.frame(at)
         if found is None:
             return None
+        rows = collected(found)
+        if rows is None:
+            return found
         out: dict[str, dict[str | None, int]] = {c: {} for c in self.columns}
-        for r in found.collect():  # as many rows as the columns have values
+        for r in rows:
             out[r["column"]][r["value"]] = r["count"]
         return out
 
@@ -91,9 +94,14 @@ class IntersectionalHistogramForColumns(Inspection):
         keys = [F.col(f"`{a.name}`").alias(a.column) for a in self.annotations()]
         return at.hidden.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"))
 
-    def result(self, at: InspectedFrame) -> dict[tuple, int] | None:
+    def result(self, at: InspectedFrame) -> dict[tuple, int] | DataFrame | None:
         found = self.frame(at)
-        return None if found is None else {tuple(r[:-1]): r[-1] for r in found.collect()}
+        rows = None if found is None else collected(found)
+        return found if rows is None else {tuple(r[:-1]): r[-1] for r in rows}
+
+
+def _measured(at: InspectedFrame, measures: dict[str, Column]) -> DataFrame | None:
+    return at.df.agg(*[v.alias(c) for c, v in measures.items()]) if measures else None
 
 
 class CompletenessOfColumns(Inspection):
@@ -106,11 +114,12 @@ class CompletenessOfColumns(Inspection):
     def inspection_id(self):
         return tuple(self.columns)
 
+    def measures(self, at):
+        there = [] if at.node.operator == OperatorType.ESTIMATOR else [c for c in self.columns if c in at.columns]
+        return {c: F.avg(F.when(is_missing(at.df, c), 0.0).otherwise(1.0)) for c in there}
+
     def frame(self, at: InspectedFrame) -> DataFrame | None:
-        there = [c for c in self.columns if c in at.columns]
-        if not there or at.node.operator == OperatorType.ESTIMATOR:
-            return None
-        return at.df.agg(*[F.avg(F.when(is_missing(at.df, c), 0.0).otherwise(1.0)).alias(c) for c in there])
+        return _measured(at, self.measures(at))
 
     def result(self, at: InspectedFrame) -> dict[str, float | None]:
         found = self.frame(at)
@@ -131,19 +140,20 @@ class CountDistinctOfColumns(Inspection):
     def inspection_id(self):
         return (*self.columns, self.nan_mode, self.approximate)
 
-    def frame(self, at: InspectedFrame) -> DataFrame | None:
-        there = [c for c in self.columns if c in at.columns]
-        if not there or at.node.operator == OperatorType.ESTIMATOR:
-            return None
-        kinds, out = dict(at.df.dtypes), []
+    def measures(self, at):
+        there = [] if at.node.operator == OperatorType.ESTIMATOR else [c for c in self.columns if c in at.columns]
+        kinds, out = dict(at.df.dtypes), {}
         for c in there:
             missing = is_missing(at.df, c)
             value = F.when(~missing, F.col(f"`{c}`"))
             known = F.approx_count_distinct(value) if self.approximate else F.count_distinct(value)
             each = self.nan_mode == "reference" and kinds[c] in ("double", "float")
             more = F.sum(missing.cast("long")) if each else F.max(missing.cast("long"))
-            out.append((known + F.coalesce(more, F.lit(0))).alias(c))
-        return at.df.agg(*out)
+            out[c] = known + F.coalesce(more, F.lit(0))
+        return out
+
+    def frame(self, at: InspectedFrame) -> DataFrame | None:
+        return _measured(at, self.measures(at))
 
     def result(self, at: InspectedFrame) -> dict[str, int]:
         found = self.frame(at)
@@ -196,7 +206,10 @@ class RowLineage(Inspection):
         found = self.frame(at)
         if found is None:
             return None
-        out = found.toPandas()
+        rows = collected(found)
+        if rows is None:
+            return found
+        out = found.sparkSession.createDataFrame(rows, found.schema).toPandas()
         out["lineage"] = [{LineageId(x["operator_id"], x["row_id"]) for x in row} for row in out["lineage"]]
         return out
 
@@ -247,9 +260,11 @@ class MissingEmbeddings(Inspection):
         info = at.node.operator_info.function_info
         if at.node.operator != OperatorType.TRANSFORMER or info is None or info.function_name != "Word2Vec" or "__in" not in at.hidden.columns:
             return None
-        zero = F.forall("array", lambda x: x == 0.0)
-        examples = F.slice(F.array_sort(F.collect_set(F.when(zero, F.col("__in").cast("string")))), 1, self.example_threshold)
-        return at.hidden.agg(F.coalesce(F.sum(zero.cast("long")), F.lit(0)).alias("missing"), examples.alias("examples"))
+        # Inputs are counted first, so that the examples are the least of the different ones and no list of all is made.
+        zero = at.hidden.where(F.forall("array", lambda x: x == 0.0)).groupBy(F.col("__in").cast("string").alias("word")).agg(F.count(F.lit(1)).alias("n"))
+        least = zero.where("word is not null").orderBy("word").limit(self.example_threshold)
+        listed = least.agg(F.array_sort(F.collect_list("word")).alias("examples"))
+        return zero.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("missing")).crossJoin(F.broadcast(listed))  # a row each
 
     def result(self, at: InspectedFrame):
         found = self.frame(at)

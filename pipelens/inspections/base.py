@@ -11,7 +11,7 @@ from abc import ABC, abstractmethod
 from collections.abc import Sequence
 from typing import TYPE_CHECKING, Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 if TYPE_CHECKING:
@@ -86,8 +86,21 @@ class LineageAnnotation(Annotation):
         return F.array_sort(out)
 
 
+#: Results of up to this many rows are values on the driver; larger ones are handed out as the table itself.
+RESULT_ROWS = 100_000
+
+
+def collected(found: DataFrame) -> list[Row] | None:
+    """The rows, if there are no more than RESULT_ROWS."""
+    rows = found.limit(RESULT_ROWS + 1).collect()
+    return rows if len(rows) <= RESULT_ROWS else None
+
+
 class Inspection(ABC):
-    """Equal by class and id, so that checks and users that ask for the same one share it."""
+    """Equal by class and id, so that checks and users that ask for the same one share it.
+
+    ``result`` never brings more than RESULT_ROWS rows to the driver: a larger result is the DataFrame of ``frame``.
+    """
 
     @property
     def inspection_id(self) -> Any:
@@ -103,6 +116,10 @@ class Inspection(ABC):
     def result(self, at: InspectedFrame) -> Any:
         return self.frame(at)
 
+    def measures(self, at: InspectedFrame) -> dict[str, Column] | None:
+        """The whole result as aggregates over the node's rows, where it is that; all of a node's are made by one job."""
+        return None
+
     def __eq__(self, other: object) -> bool:
         return type(self) is type(other) and self.inspection_id == other.inspection_id
 

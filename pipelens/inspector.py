@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pipelens.capture import Patch, captured
 from pipelens.checks import Check, CheckResult, InspectionResult, check_results_frame
-from pipelens.inspections import Inspection
+from pipelens.inspections import HistogramForColumns, Inspection
 from pipelens.operators.frame import ORD, InspectedFrame
 from pipelens.plans.model import Dag, DagNode, OperatorType
 from pipelens.plans.recorder import Recorder, recording
@@ -36,7 +36,7 @@ PARALLEL = 4
 
 
 def _worth_keeping(frame: InspectedFrame) -> bool:
-    if frame.node.operator not in (OperatorType.JOIN, OperatorType.GROUP_BY_AGG):
+    if frame.node.operator != OperatorType.JOIN:
         return False
     return int(str(frame.hidden._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= KEEP_BYTES
 
@@ -49,8 +49,28 @@ def _share_first_rows(frame: InspectedFrame, inspections: Iterable[Inspection])
         frame.first_rows = (max(counts), frame.spark.createDataFrame(rows, frame.hidden.schema))
 
 
+def _share_histograms(frame: InspectedFrame, inspections: Iterable[Inspection], found: dict[Inspection, Any]) -> None:
+    """One job for all histograms of a node."""
+    several = [i for i in inspections if type(i) is HistogramForColumns]
+    if len(several) < 2:
+        return
+    whole = HistogramForColumns(list(dict.fromkeys(c for i in several for c in i.columns))).result(frame)
+    if isinstance(whole, dict):
+        found.update({i: {c: whole[c] for c in i.columns} for i in several})
+
+
+def _share_measures(frame: InspectedFrame, inspections: Iterable[Inspection], found: dict[Inspection, Any]) -> None:
+    """One job for all that a node's rows are aggregated to."""
+    several = {i: m for i in inspections if (m := i.measures(frame))}
+    if len(several) > 1:
+        parts = [(i, c, v) for i, m in several.items() for c, v in m.items()]
+        row = frame.df.agg(*[v.alias(f"m{k}") for k, (_, _, v) in enumerate(parts)]).first()
+        for k, (i, c, _) in enumerate(parts):
+            found.setdefault(i, {})[c] = row[k]
+
+
 def evaluate(recorder: Recorder, inspections: Iterable[Inspection], checks: Iterable[Check], parallel: int = PARALLEL) -> InspectorResult:
-    """Results of all nodes."""
+    """Results of all nodes. A node takes three jobs at most, however many inspections: counts, aggregates, first rows."""
     inspections = list(inspections)
     shared = [f for n, f in recorder.frames.items() if inspections and len(recorder.dag.successors(n)) > 1 and _worth_keeping(f)]
     for f in shared:
@@ -58,7 +78,10 @@ def evaluate(recorder: Recorder, inspections: Iterable[Inspection], checks: Iter
     result = InspectionResult(recorder.dag, recorder.frames)
 
     def one(node: DagNode) -> None:
-        _share_first_rows(recorder.frames[node], inspections)
+        frame, found = recorder.frames[node], result.results[node]
+        _share_first_rows(frame, inspections)
+        _share_histograms(frame, inspections, found)
+        _share_measures(frame, inspections, found)
         for inspection in inspections:
             result.get(node, inspection)
 

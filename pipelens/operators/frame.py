@@ -7,14 +7,16 @@ through filters and joins without a second join, and Catalyst prunes those that
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pipelens.plans.model import DagNode, OperatorType
-from pipelens.plans.recorder import Recorder, current
+from pipelens.plans.recorder import Recorder, current, suspended
+from pipelens.storage import grouped_median, ordinal
 
 ORD = "__ord"
 LAST = 2**63 - 1
@@ -29,19 +31,6 @@ def q(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def ordinal(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
-    """``df`` with its 0-based place in the order, without moving all rows to one task.
-
-    Rows are dealt by ranges, numbered within each range, and shifted by the ranges' sizes: a row each.
-    """
-    ranged = df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
-    sizes = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    inside = F.row_number().over(Window.partitionBy("__p").orderBy(*order)) - 1
-    return ranged.withColumn("__k", inside).join(F.broadcast(starts), "__p").withColumn(name, (F.col("__k") + F.col("__base")).cast("bigint")).drop("__p", "__k", "__base")
-
-
 class InspectedFrame:
     #: The first rows, once collected: how many, and the rows.
     first_rows: tuple[int, DataFrame] | None = None
@@ -153,12 +142,58 @@ class InspectedFrame:
             raise NotImplementedError("only columns named by a string can be set")
         return self._unary(OperatorType.PROJECTION_MODIFY, (DF, "withColumn"), f"modifies ['{name}']", lambda df: df.withColumn(name, value))
 
-    def replace(self, old: object, new: object) -> InspectedFrame:
-        """Exact values, in all columns of the value's type."""
-        if isinstance(old, (dict, list, tuple)):
-            raise NotImplementedError("replace takes one value and its substitute")
-        names = self.columns
-        return self._unary(OperatorType.PROJECTION_MODIFY, (DF, "replace"), f"Replace '{old}' with '{new}'", lambda df: df.replace(old, new, subset=names))
+    def with_columns(self, values: dict[str, Column]) -> InspectedFrame:
+        return self._unary(OperatorType.PROJECTION_MODIFY, (DF, "withColumns"), f"modifies {list(values)}", lambda df: df.withColumns(values))
+
+    def rename(self, old: str, new: str) -> InspectedFrame:
+        return self._unary(OperatorType.PROJECTION_MODIFY, (DF, "withColumnRenamed"), f"renames '{old}' to '{new}'", lambda df: df.withColumnRenamed(old, new))
+
+    def drop(self, *names: str) -> InspectedFrame:
+        return self.select(*[c for c in self.columns if c not in names])
+
+    def fillna(self, value: object, subset: Sequence[str] | None = None) -> InspectedFrame:
+        """Nulls become the value, in the columns of its type; a dict gives a value for each column."""
+        names = list(subset) if subset else self.columns
+        fill = lambda df: df.fillna(value) if isinstance(value, dict) else df.fillna(value, names)
+        return self._unary(OperatorType.PROJECTION_MODIFY, (DF, "fillna"), f"fills nulls with {value!r}", fill)
+
+    def replace(self, old: object, new: object = None, subset: Sequence[str] | None = None) -> InspectedFrame:
+        """Exact values, in all columns of the values' type or in some; ``old`` may be a dict, or a list with one or as many substitutes."""
+        if isinstance(old, Column) or isinstance(new, Column):
+            raise NotImplementedError("replace takes values, not expressions")
+        names = list(subset) if subset else self.columns
+        said = f"Replace {old}" if isinstance(old, dict) else f"Replace '{old}' with '{new}'"
+        change = lambda df: df.replace(old, subset=names) if isinstance(old, dict) else df.replace(old, new, subset=names)
+        return self._unary(OperatorType.PROJECTION_MODIFY, (DF, "replace"), said, change)
+
+    def distinct(self, subset: Sequence[str] | None = None) -> InspectedFrame:
+        """Of rows that are equal (in the columns of ``subset``) the first one stays."""
+        keys = list(subset) if subset else self.columns
+
+        def change(df: DataFrame) -> DataFrame:
+            rest = [c for c in df.columns if c not in keys and c != ORD]
+            first = F.min_by(F.struct(q(ORD), *[q(c) for c in rest]), q(ORD)).alias("__first")
+            rows = df.groupBy(*[q(k) for k in keys]).agg(first)
+            return rows.select(*[q(c) if c in keys else F.col("__first").getField(c).alias(c) for c in df.columns])
+
+        return self._unary(OperatorType.SELECTION, (DF, "distinct"), "distinct" + (f" by {keys}" if subset else ""), change)
+
+    def limit(self, n: int) -> InspectedFrame:
+        """The first n rows in order of the row ids."""
+        return self._unary(OperatorType.SELECTION, (DF, "limit"), f"first {n} rows", lambda df: df.orderBy(ORD).limit(n))
+
+    def union(self, other: InspectedFrame | DataFrame, by_name: bool = False) -> InspectedFrame:
+        """Rows of both, columns by place or by name; each row keeps its lineage and its annotations."""
+        other = tracked(other)
+        if len(self.columns) != len(other.columns) or (by_name and set(self.columns) != set(other.columns)):
+            raise ValueError("both frames need the same columns")
+        names = self.columns if by_name else other.columns
+        marks = [a.name for a in self.recorder.annotations]
+        place = lambda k: F.concat(F.array(F.lit(k).cast("bigint")), q(ORD)).alias(ORD)
+        top = self.hidden.select(*self.quoted, place(0), *[q(m) for m in marks])
+        below = other.hidden.select(*[q(c).alias(n) for c, n in zip(names, self.columns)], place(1), *[q(m) for m in marks])
+        node = self.recorder.add(OperatorType.CONCATENATION, (DF, "union"), "union of rows", self.columns, [self.node, other.node])
+        return InspectedFrame(top.unionAll(below), node, self.recorder)
 
     def label_binarize(self, classes: Sequence[object], column: str | None = None) -> InspectedFrame:
         """One 0/1 value for two classes, the second being 1; one value for each class of more."""
@@ -186,7 +221,7 @@ class InspectedFrame:
     def join(
         self,
         other: InspectedFrame | DataFrame,
-        on: str | Sequence[str] | None = None,
+        on: str | Sequence[str] | Column | None = None,
         how: str = "inner",
         left_on: str | None = None,
         right_on: str | None = None,
@@ -195,10 +230,17 @@ class InspectedFrame:
         sort: bool = False,
         suffixes: tuple[str, str] = ("_x", "_y"),
     ) -> InspectedFrame:
-        """Null keys match each other. Columns that both sides have, other than shared keys, get suffixes."""
+        """Null keys match each other. Columns that both sides have, other than shared keys, get suffixes.
+
+        ``on`` may be a condition over the columns of frames whose names differ. Semi and anti joins keep the left
+        rows as they are.
+        """
         other = tracked(other)
+        how = {"outer": "full", "full_outer": "full", "fullouter": "full", "left_outer": "left", "leftouter": "left", "right_outer": "right", "rightouter": "right", "semi": "left_semi", "leftsemi": "left_semi", "anti": "left_anti", "leftanti": "left_anti"}.get(how, how)
+        conditions = [c for c in ([on] if isinstance(on, Column) else on if isinstance(on, (list, tuple)) else []) if isinstance(c, Column)]
+        if conditions:
+            return self._join_where(other, reduce(lambda a, b: a & b, conditions), how)
         keys = [on] if isinstance(on, str) else list(on or [])
-        how = {"outer": "full", "full_outer": "full", "left_outer": "left", "right_outer": "right"}.get(how, how)
         if not (keys or left_on or left_index) and how != "cross":
             keys = [c for c in self.columns if c in other.columns]
         ln, rn = [f"__l{i}" for i in range(len(self.hidden.columns))], [f"__r{i}" for i in range(len(other.hidden.columns))]
@@ -217,6 +259,9 @@ class InspectedFrame:
                 pairs, said = [(l[k], r[k]) for k in keys], f"on {', '.join(repr(k) for k in keys)}"
             joined = left.join(right, reduce(lambda a, b: a & b, [a.eqNullSafe(b) for a, b in pairs]), how)
             said += "" if how == "inner" else f" ({'outer' if how == 'full' else how})"
+        if how in ("left_semi", "left_anti"):
+            node = self.recorder.add(OperatorType.JOIN, (DF, "join"), said, self.columns, [self.node, other.node])
+            return InspectedFrame(joined.select(*[v.alias(k) for k, v in l.items()]), node, self.recorder)
         outputs: dict[str, Column] = {}
         for c in self.columns:
             if c in keys:
@@ -237,6 +282,26 @@ class InspectedFrame:
 
     merge = join
 
+    def _join_where(self, other: InspectedFrame, condition: Column, how: str) -> InspectedFrame:
+        """A join on a condition, which speaks of the two sides' own columns; these keep their identity."""
+        both = set(self.columns) & set(other.columns)
+        if both:
+            raise NotImplementedError(f"a join on a condition needs different names on both sides; both have {sorted(both)}")
+        left = self.hidden.select(*self.quoted, *[q(c).alias(f"__l{c}") for c in self.hidden.columns if is_hidden(c)])
+        right = other.hidden.select(*other.quoted, *[q(c).alias(f"__r{c}") for c in other.hidden.columns if is_hidden(c)])
+        joined = left.join(right, condition, how)
+        said = f"on {condition}" + ("" if how == "inner" else f" ({'outer' if how == 'full' else how})")
+        if how in ("left_semi", "left_anti"):
+            names, out = self.columns, joined.select(*self.quoted, *[q(f"__l{c}").alias(c) for c in self.hidden.columns if is_hidden(c)])
+        else:
+            names, nobody = [*self.columns, *other.columns], F.array(F.lit(LAST))
+            order = F.concat(F.coalesce(q(f"__l{ORD}"), nobody), F.coalesce(q(f"__r{ORD}"), nobody))
+            outputs = {c: q(c) for c in names}
+            marks = [a.nary(outputs, [q(f"__l{a.name}"), q(f"__r{a.name}")]).alias(a.name) for a in self.recorder.annotations]
+            out = joined.select(*outputs.values(), order.alias(ORD), *marks)
+        node = self.recorder.add(OperatorType.JOIN, (DF, "join"), said, names, [self.node, other.node])
+        return InspectedFrame(out, node, self.recorder)
+
     # --- aggregation -------------------------------------------------------------------------------------------------
 
     def groupby(self, *keys: str) -> Grouped:
@@ -273,12 +338,45 @@ class InspectedFrame:
         return train, test
 
 
+class GroupedFrame(InspectedFrame):
+    """Groups. Their row ids, places in the order of the keys, are worked out when something first asks for them."""
+
+    def __init__(self, groups: DataFrame, keys: list[str], node: DagNode, recorder: Recorder):
+        self.groups, self.keys, self.node, self.recorder = groups, keys, node, recorder
+        self._numbered: DataFrame | None = None
+        self._lock = threading.Lock()
+        recorder.frames[node] = self
+
+    @property
+    def columns(self) -> list[str]:
+        return self.groups.columns
+
+    @property
+    def df(self) -> DataFrame:
+        return self.groups if self._numbered is None else self._numbered.select(*self.quoted)
+
+    @property
+    def spark(self) -> SparkSession:
+        return self.groups.sparkSession
+
+    @property
+    def hidden(self) -> DataFrame:
+        with self._lock:
+            if self._numbered is None:
+                with suspended(self.recorder):
+                    rows = ordinal(self.groups, [q(k) for k in self.keys], "__rid")
+                names, rid = self.groups.columns, F.col("__rid")
+                marks = [a.source(self.node.node_id, names, rid).alias(a.name) for a in self.recorder.annotations]
+                self._numbered = rows.select(*self.quoted, F.array(rid).alias(ORD), *marks)
+            return self._numbered
+
+
 class Grouped:
     """A frame with keys; ``agg`` makes the node. Rows with a null key drop out; groups are new source rows by key order."""
 
     FUNCTIONS = {
         "mean": F.avg, "avg": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "count": F.count, "std": F.stddev_samp, "var": F.var_samp,
-        "median": lambda c: F.percentile(c, F.lit(0.5)), "nunique": F.count_distinct, "first": F.first, "last": F.last,
+        "nunique": F.count_distinct, "first": F.first, "last": F.last,
     }
 
     def __init__(self, frame: InspectedFrame, keys: list[str]):
@@ -288,24 +386,25 @@ class Grouped:
         wanted: dict[str, tuple[str, str] | Column] = {c: (c, f) for c, f in (spec or {}).items()} | named
         if not wanted:
             raise ValueError("agg needs an aggregate")
-        values = [(v if isinstance(v, Column) else self.FUNCTIONS[v[1]](q(v[0]))).alias(name) for name, v in wanted.items()]
+        medians = {name: v[0] for name, v in wanted.items() if not isinstance(v, Column) and v[1] == "median"}
+        others = {name: v for name, v in wanted.items() if name not in medians}
+        values = [(v if isinstance(v, Column) else self.FUNCTIONS[v[1]](q(v[0]))).alias(name) for name, v in others.items()]
         shown = {k: v if isinstance(v, tuple) else str(v) for k, v in wanted.items()}
-        return self.agg_columns(values, str(shown))
-
-    def agg_columns(self, values: Sequence[Column], shown: str) -> InspectedFrame:
-        """Aggregates given as named expressions."""
-        known = reduce(lambda a, b: a & b, [q(k).isNotNull() for k in self.keys])
-        groups = self.frame.hidden.where(known).groupBy(*[q(k) for k in self.keys]).agg(*values)
+        return self.agg_columns(values, str(shown), medians, list(wanted))
+
+    def agg_columns(self, values: Sequence[Column], shown: str, medians: dict[str, str] | None = None, order: Sequence[str] | None = None) -> InspectedFrame:
+        """Aggregates given as named expressions; medians by name and column."""
+        keys, frame = [q(k) for k in self.keys], self.frame
+        rows = frame.df.where(reduce(lambda a, b: a & b, [k.isNotNull() for k in keys]))
+        groups = rows.groupBy(*keys).agg(*values) if values else rows.select(*keys).distinct()
+        for name, column in (medians or {}).items():
+            with suspended(frame.recorder):
+                groups = groups.join(grouped_median(rows, self.keys, q(column), name), self.keys, "left")
+        if medians:
+            groups = groups.select(*keys, *[q(c) for c in order])
         described = f"Groupby {', '.join(repr(k) for k in self.keys)}, Aggregate: '{shown}'"
-        recorder = self.frame.recorder
-        groups = ordinal(groups, [q(k) for k in self.keys], "__rid")
-        rows = groups.select(*[q(c) for c in groups.columns if c != "__rid"], F.col("__rid"))
-        node = recorder.add(OperatorType.GROUP_BY_AGG, ("pyspark.sql.GroupedData", "agg"), described, [c for c in rows.columns if c != "__rid"], [self.frame.node])
-        names = [c for c in rows.columns if c != "__rid"]
-        hidden = rows.select(
-            *[q(c) for c in names], F.array("__rid").alias(ORD), *[a.source(node.node_id, names, F.col("__rid")).alias(a.name) for a in recorder.annotations]
-        )
-        return InspectedFrame(hidden, node, recorder)
+        node = frame.recorder.add(OperatorType.GROUP_BY_AGG, ("pyspark.sql.GroupedData", "agg"), described, groups.columns, [frame.node])
+        return GroupedFrame(groups, self.keys, node, frame.recorder)
 
 
 def tracked(data: InspectedFrame | DataFrame) -> InspectedFrame:

@@ -22,6 +22,7 @@ from pipelens.inspections import (
 )
 from pipelens.operators.frame import ORD, InspectedFrame, concat
 from pipelens.plans.recorder import Recorder
+from pipelens.storage import place_for
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -48,7 +49,8 @@ class Run:
     def scan(self, name: str, row_id: str | Column | None = None) -> InspectedFrame:
         if row_id is None:
             row_id = KEYS.get(name)  # of the others the row index
-        return sources.read_parquet(self.spark, f"{self.dir}/{name}.parquet", row_id, recorder=self.recorder)
+        # These tables hold no NaN; without the conversion comparisons of numbers are part of the scan.
+        return sources.read_parquet(self.spark, f"{self.dir}/{name}.parquet", row_id, normalize=False, recorder=self.recorder)
 
     def customers(self) -> InspectedFrame:
         """Customers with some nulls: the segment of each seventh, the balance of each fifth."""
@@ -94,19 +96,24 @@ def src_scan_parquet(spark, sf_dir):
 @query("select n_nationkey, n_name, case when n_regionkey <> 3 then n_regionkey end as n_regionkey from nation")
 def src_scan_csv(spark, sf_dir):
     """Writes nations as CSV, with ? for a missing value, and reads them back."""
-    path = f"{_scratch(spark)}/nation_csv"
+    path = place_for(spark, "nation_csv")
     nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
     nation.select("n_nationkey", "n_name", F.when(F.col("n_regionkey") == 3, "?").otherwise(F.col("n_regionkey").cast("string")).alias("n_regionkey")).write.mode("overwrite").csv(path, header=True)
     run = Run(spark, sf_dir)
     return sources.read_csv(spark, path, "n_nationkey int, n_name string, n_regionkey int", na_values="?", row_id="n_nationkey", recorder=run.recorder).df
 
 
-def _scratch(spark: SparkSession) -> str:
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/pipelens"
-    return f"{base.rstrip('/')}/queries-{uuid.uuid4().hex}"
+@query(
+    "select sum(case when o_orderkey % 3 = 0 then 1 else 0 end)::bigint as missing, round(avg(case when o_orderkey % 3 <> 0 then o_totalprice end), 6) as mean, "
+    "count(case when o_orderkey % 3 <> 0 and o_totalprice > 100000 then 1 end) as large from orders"
+)
+def src_scan_parquet_nan(spark, sf_dir):
+    """NaN in Parquet is a missing value to everything that follows."""
+    path = place_for(spark, "orders_nan")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    orders.select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, F.lit(float("nan"))).otherwise(F.col("o_totalprice")).alias("price")).write.parquet(path)
+    price = sources.read_parquet(spark, path, "o_orderkey", recorder=Run(spark, sf_dir).recorder).df
+    return price.agg(F.count_if(F.col("price").isNull()).alias("missing"), r6(F.avg("price")).alias("mean"), F.count_if(F.col("price") > 100000).alias("large"))
 
 
 @query("select * from (values ('cat_a', 1::bigint), ('cat_b', 2), (null, 4)) t(A, B)")
@@ -189,6 +196,39 @@ def mod_replace(spark, sf_dir):
     return Run(spark, sf_dir).scan("orders").select("o_orderkey", "o_orderpriority").replace("3-MEDIUM", "5-LOW").df
 
 
+@query("select o_orderkey, case o_orderpriority when '3-MEDIUM' then 'middle' when '5-LOW' then 'low' else o_orderpriority end as o_orderpriority, o_orderstatus from orders")
+def mod_replace_several(spark, sf_dir):
+    orders = Run(spark, sf_dir).scan("orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
+    return orders.replace({"3-MEDIUM": "middle", "5-LOW": "low", "O": "open"}, subset=["o_orderpriority"]).df
+
+
+@query(f"with {CUST} select c_custkey, coalesce(seg, 'NONE') as seg, bal from cust")
+def mod_fillna(spark, sf_dir):
+    return Run(spark, sf_dir).customers().select("c_custkey", "seg", "bal").fillna("NONE").df
+
+
+@query("select c_custkey as key, c_acctbal from customer")
+def mod_rename_drop(spark, sf_dir):
+    return Run(spark, sf_dir).scan("customer").select("c_custkey", "c_acctbal", "c_mktsegment").rename("c_custkey", "key").drop("c_mktsegment").df
+
+
+@query("select distinct o_orderstatus, o_orderpriority from orders")
+def sel_distinct(spark, sf_dir):
+    return Run(spark, sf_dir).scan("orders").select("o_orderstatus", "o_orderpriority").distinct().df
+
+
+@query("select o_orderkey, o_totalprice from orders where o_totalprice > 100000 order by o_orderkey limit 20")
+def sel_limit(spark, sf_dir):
+    return Run(spark, sf_dir).scan("orders").select("o_orderkey", "o_totalprice").filter(F.col("o_totalprice") > 100000).limit(20).df
+
+
+@query("select c_custkey as key, 'c' as kind from customer union all select s_suppkey, 's' from supplier")
+def union_rows(spark, sf_dir):
+    run = Run(spark, sf_dir)
+    a = run.scan("customer").rename("c_custkey", "key").with_column("kind", F.lit("c")).select("key", "kind")
+    return a.union(run.scan("supplier").rename("s_suppkey", "key").with_column("kind", F.lit("s")).select("key", "kind")).df
+
+
 @query("select o_orderkey as row, 0 as pos, case when o_orderstatus = 'O' then 1.0::double else 0.0::double end as value from orders")
 def mod_label_binarize(spark, sf_dir):
     return long_form(Run(spark, sf_dir).scan("orders").select("o_orderstatus").label_binarize(["F", "O"]))
@@ -289,6 +329,27 @@ def join_null_safe(spark, sf_dir):
     return a.join(b, on="k").select("a", "b").df
 
 
+@query("select o_orderkey, c_custkey, c_acctbal from orders join customer on o_custkey = c_custkey and o_totalprice > 20 * c_acctbal")
+def join_condition(spark, sf_dir):
+    run = Run(spark, sf_dir)
+    customer, orders = run.scan("customer").select("c_custkey", "c_acctbal"), run.scan("orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    on = (F.col("o_custkey") == F.col("c_custkey")) & (F.col("o_totalprice") > 20 * F.col("c_acctbal"))
+    return orders.join(customer, on=on).select("o_orderkey", "c_custkey", "c_acctbal").df
+
+
+@query("select c_custkey, c_mktsegment from customer where exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 300000)")
+def join_semi(spark, sf_dir):
+    run = Run(spark, sf_dir)
+    large = run.scan("orders").filter(F.col("o_totalprice") > 300000).select("o_custkey")
+    return run.scan("customer").select("c_custkey", "c_mktsegment").join(large, left_on="c_custkey", right_on="o_custkey", how="left_semi").df
+
+
+@query("select c_custkey, c_mktsegment from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+def join_anti(spark, sf_dir):
+    run = Run(spark, sf_dir)
+    return run.scan("customer").select("c_custkey", "c_mktsegment").join(run.scan("orders").select("o_custkey"), left_on="c_custkey", right_on="o_custkey", how="left_anti").df
+
+
 # --- aggregation ------------------------------------------------------------------------------------------------------
 
 
@@ -309,6 +370,13 @@ def agg_multi(spark, sf_dir):
     return out.df.select("seg", r6("s").alias("s"), "lo", "hi", "n", r6("sd").alias("sd"), r6("med").alias("med"), "nations")
 
 
+@query("select l_orderkey, round(sum(l_quantity), 6) as quantity, max(l_extendedprice) as price, round(median(l_discount), 6) as discount from lineitem group by 1")
+def agg_many_groups(spark, sf_dir):
+    """As many groups as there are orders; reading the ids of the groups must lose none."""
+    out = Run(spark, sf_dir).scan("lineitem").groupby("l_orderkey").agg(quantity=("l_quantity", "sum"), price=("l_extendedprice", "max"), discount=("l_discount", "median"))
+    return out.hidden.select("l_orderkey", r6("quantity").alias("quantity"), "price", r6("discount").alias("discount"))
+
+
 # --- lineage ----------------------------------------------------------------------------------------------------------
 
 ALL = RowLineage(RowLineage.ALL_ROWS)
@@ -358,6 +426,25 @@ def lineage_groupby(spark, sf_dir):
     return lineage_rows(ALL.frame(at), "o_custkey")
 
 
+@query("with g as (select l_orderkey as key, row_number() over (order by l_orderkey) - 1 as row_id from (select distinct l_orderkey from lineitem)) select key, 1 as operator_id, row_id::bigint as row_id from g")
+def lineage_groupby_many(spark, sf_dir):
+    at = Run(spark, sf_dir, ALL).scan("lineitem").groupby("l_orderkey").agg(m=("l_quantity", "mean"))
+    return lineage_rows(ALL.frame(at), "l_orderkey")
+
+
+@query("select key, operator_id, key as row_id from (select c_custkey as key, 0 as operator_id from customer union all select s_suppkey, 2 from supplier)")
+def lineage_union(spark, sf_dir):
+    run = Run(spark, sf_dir, ALL)
+    at = run.scan("customer").select("c_custkey").union(run.scan("supplier").select("s_suppkey"))
+    return lineage_rows(ALL.frame(at), "c_custkey")
+
+
+@query("select min(o_orderkey)::bigint as row_id, o_orderpriority as priority from orders group by 2")
+def lineage_distinct(spark, sf_dir):
+    at = Run(spark, sf_dir, ALL).scan("orders").select("o_orderpriority").distinct()
+    return ALL.frame(at).select(F.col("lineage")[0]["row_id"].alias("row_id"), F.col("o_orderpriority").alias("priority"))
+
+
 SPLIT = "s as (select *, row_number() over (order by md5('7-' || c_custkey)) as k, count(*) over () as n from customer)"
 
 
@@ -523,23 +610,20 @@ def capture_args(spark, sf_dir):
     return ArgumentCapturing().frame(at)
 
 
-def _embedded(run: Run) -> InspectedFrame:
-    """Words of part types by a table of vectors that lacks some: the vectors come from the embeddings table."""
-    vectors = run.spark.read.parquet(f"{run.dir}/embeddings.parquet")
-    rows = vectors.select("vec_id", F.when(F.col("vec_id") % 9 == 0, F.transform("embedding", lambda x: F.lit(0.0))).otherwise(F.transform("embedding", lambda x: x.cast("double"))).alias("array"))
-    frame = InspectedFrame.from_source(rows, F.col("vec_id"), recorder=run.recorder)
-    from pipelens.plans.model import OperatorType
+#: Part types in fewer rows than this have no vector.
+FEW = 14
+MISSING = f"select p_type from part group by 1 having count(*) < {FEW}"
 
-    def change(df: DataFrame) -> DataFrame:
-        return df.select("array", F.col("vec_id").alias("__in"), *frame._hidden_columns)
 
-    return frame._unary(OperatorType.TRANSFORMER, ("pipelens.functions", "Word2Vec"), "Word2Vec", change, ["array"])
+def _embedded(run: Run) -> InspectedFrame:
+    return ml.Word2Vec(4, min_count=FEW, seed=1).fit_transform(run.scan("part").select("p_type"))
 
 
-@query("select count(*) as missing from embeddings where vec_id % 9 = 0")
+@query(f"select count(*) as missing, (select list(p_type order by p_type) from (select p_type from ({MISSING}) order by 1 limit 10)) as examples from part where p_type in ({MISSING})")
 def missing_embeddings(spark, sf_dir):
     seen = MissingEmbeddings()
-    return seen.frame(_embedded(Run(spark, sf_dir, seen))).select("missing")
+    found = seen.frame(_embedded(Run(spark, sf_dir, seen)))
+    return found.select("missing", F.when(F.size("examples") > 0, F.col("examples")).alias("examples"))
 
 
 # --- checks -----------------------------------------------------------------------------------------------------------
@@ -668,7 +752,7 @@ def check_illegal_features(spark, sf_dir):
     return spark.createDataFrame([(c,) for c in bad], "column string")
 
 
-@query("select 'Failure' as status, count(*) as missing from embeddings where vec_id % 9 = 0")
+@query(f"select case when count(*) > 0 then 'Failure' else 'Success' end as status, count(*) as missing from part where p_type in ({MISSING})")
 def check_missing_embeddings(spark, sf_dir):
     run = Run(spark, sf_dir, MissingEmbeddings())
     _embedded(run)
@@ -754,7 +838,14 @@ def tf_kbins_onehot(spark, sf_dir):
     return long_form(ml.KBinsDiscretizer(4, encode="onehot").fit_transform(Run(spark, sf_dir).scan("part").select("p_size")))
 
 
-@query()
+KMEANS = (
+    "recursive k(i, c0, c1, c2, c3) as (select 0, lo + w / 2, lo + 3 * w / 2, lo + 5 * w / 2, lo + 7 * w / 2 from (select min(p_size)::double as lo, (max(p_size) - min(p_size)) / 4.0::double as w from part) "
+    "union all select i + 1, (select avg(p_size) from part where p_size < (c0 + c1) / 2), (select avg(p_size) from part where p_size >= (c0 + c1) / 2 and p_size < (c1 + c2) / 2), "
+    "(select avg(p_size) from part where p_size >= (c1 + c2) / 2 and p_size < (c2 + c3) / 2), (select avg(p_size) from part where p_size >= (c2 + c3) / 2) from k where i < 60)"
+)
+
+
+@query(f"with {KMEANS}, e as (select * from k where i = 60) select p_partkey as row, 0 as pos, ((p_size >= (c0 + c1) / 2)::int + (p_size >= (c1 + c2) / 2)::int + (p_size >= (c2 + c3) / 2)::int)::double as value from part, e")
 def tf_kbins_kmeans(spark, sf_dir):
     return long_form(ml.KBinsDiscretizer(4, strategy="kmeans").fit_transform(Run(spark, sf_dir).scan("part").select("p_size")))
 
@@ -878,11 +969,21 @@ def est_ols_simple(spark, sf_dir):
     return spark.createDataFrame([tuple(round(x, 4) for x in model.params)], "intercept double, slope double")
 
 
-@query()
+#: Each regressor without what the earlier ones explain, then the coefficients from the last to the first.
+OLS_SQL = (
+    "a as (select l_extendedprice as y, l_quantity as q, l_discount as d, l_tax as t from lineitem), "
+    "b as (select *, d - (regr_slope(d, q) over () * q + regr_intercept(d, q) over ()) as d1, t - (regr_slope(t, q) over () * q + regr_intercept(t, q) over ()) as t1 from a), "
+    "c as (select *, t1 - (regr_slope(t1, d1) over () * d1 + regr_intercept(t1, d1) over ()) as t2 from b), "
+    "bt as (select regr_slope(y, t2) as v from c), bd as (select regr_slope(y - v * t, d1) as v from c, bt), "
+    "bq as (select regr_slope(y - bt.v * t - bd.v * d, q) as v, regr_intercept(y - bt.v * t - bd.v * d, q) as k from c, bt, bd)"
+)
+
+
+@query(f"with {OLS_SQL} select 0 as pos, round(k, 3) as value from bq union all select 1, round(v, 3) from bq union all select 2, round(v, 3) from bd union all select 3, round(v, 3) from bt")
 def est_ols_multi(spark, sf_dir):
     items = Run(spark, sf_dir).scan("lineitem")
     model = ml.OLS().fit(items.select("l_quantity", "l_discount", "l_tax").add_constant(), items.select("l_extendedprice"))
-    return spark.createDataFrame([(i, x) for i, x in enumerate(model.params)], "pos int, value double")
+    return spark.createDataFrame([(i, round(x, 3)) for i, x in enumerate(model.params)], "pos int, value double")
 
 
 @query("select round(avg(case when (o_totalprice > 150000) = (o_orderstatus = 'O') then 1.0 else 0.0 end)::double, 6) as accuracy from orders")

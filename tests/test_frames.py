@@ -130,7 +130,7 @@ def test_unary_operators(make):
     assert values(s.replace("Medium", "Low"), "A") == [("Low",), ("Low",), ("Low",), ("High",), (None,)]
     y = make("A string", ("yes",), ("no",), ("no",), ("yes",))
     assert [x[0] for x in values(y.label_binarize(["no", "yes"]), "array")] == [[1.0], [0.0], [0.0], [1.0]]
-    for wrong in (lambda: a[1], lambda: a.with_column(1, F.lit(1)), lambda: a.replace({"a": 1}, None)):
+    for wrong in (lambda: a[1], lambda: a.with_column(1, F.lit(1)), lambda: a.replace(F.lit(1), 2)):
         with pytest.raises(NotImplementedError):
             wrong()
     with pytest.raises(KeyError):
@@ -162,7 +162,7 @@ def test_bias_of_a_join(make):
     a, b = f1(make)
     a.join(b, on="B")
     found = check(make, NoBiasIntroducedFor(["A"]))
-    assert found.status == CheckStatus.FAILURE and "min_relative_ratio_change of 'A' by -0.375" in found.description
+    assert found.status == CheckStatus.FAILURE and "'A' loses share, its relative change of -0.375" in found.description
     assert found.details[0].table["relative_ratio_change"].tolist() == pytest.approx([0.25, -0.375, 0.25])
     assert check(make, SimilarRemovalProbabilitiesFor(["A"])).status == CheckStatus.SUCCESS
 
@@ -275,7 +275,7 @@ def plan(df):
 def test_plans(spark, sf):
     """Filters reach the scan, unused columns and annotations do not, and nothing runs in Python."""
     recorder = Recorder([RowLineage(5), HistogramForColumns(["c_mktsegment"])], track_code=False)
-    at = sources.read_parquet(spark, f"{sf}/customer.parquet", recorder=recorder).filter(F.col("c_acctbal") > 100).select("c_custkey")
+    at = sources.read_parquet(spark, f"{sf}/customer.parquet", normalize=False, recorder=recorder).filter(F.col("c_acctbal") > 100).select("c_custkey")
     physical = plan(HistogramForColumns(["c_mktsegment"]).frame(at)).split("== Physical Plan ==")[1]
     assert "GreaterThan(c_acctbal,100.0)" in physical and "c_name:string" not in physical and "Python" not in physical
     assert "__lin" not in physical
