@@ -2,51 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors share.
-
-    The session's ``spark.checkpoint.dir`` is used. Only where it is unset, as in tests, a folder of this
-    machine is made.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + os.path.join(tempfile.gettempdir(), "pipelens-shared")
-    return found.rstrip("/")
-
-
-def _drop_written() -> None:
-    for spark, path in _written:
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session has ended already
-            return
-
+from pipelens.storage import discard, staged
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and returns the written table.
-
-    This cuts the lineage, and what is written outlives any executor. The tables are removed when the driver ends.
-    """
-    spark = df.sparkSession
-    if not _written:
-        atexit.register(_drop_written)
-    path = f"{shared_dir(spark)}/pipelens-{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["connected_components", "discard", "held_out", "staged", "table"]
 
 
 def held_out(doc_id: str | Column) -> Column:
@@ -64,6 +25,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Each round hooks every node to its smallest neighbour, follows the hooks to their ends and contracts the edges.
     At least half of the nodes that are left vanish in a round. No link and no label reaches the driver, only counts.
+    Tables of a round are deleted when the next one is written.
     """
     edges = staged(
         edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges"
@@ -77,25 +39,29 @@ def connected_components(edges: DataFrame) -> DataFrame:
         while True:  # pointer jumping
             up = hooks.select(F.col("node").alias("top"), F.col("top").alias("over"))
             jumped = staged(hooks.join(up, "top").select("node", F.col("over").alias("top"), (F.col("over") != F.col("top")).alias("moved")), "hooks")
-            moved = not jumped.where("moved").isEmpty()
-            hooks = jumped.select("node", "top")
-            if not moved:
+            discard(hooks)
+            hooks = jumped
+            if hooks.where("moved").isEmpty():
                 break
         if found is None:
-            found = hooks.select("node", F.col("top").alias("component"))
+            found = staged(hooks.select("node", F.col("top").alias("component")), "components")
         else:
+            before = found
             found = staged(
-                found.join(hooks.select(F.col("node").alias("component"), "top"), "component", "left").select(
+                before.join(hooks.select(F.col("node").alias("component"), "top"), "component", "left").select(
                     "node", F.coalesce("top", "component").alias("component")
                 ),
                 "components",
             )
+            discard(before)
         left = hooks.select(F.col("node").alias("u"), F.col("top").alias("a"))
         right = hooks.select(F.col("node").alias("v"), F.col("top").alias("b"))
+        before = edges
         edges = staged(
-            edges.join(left, "u").join(right, "v").where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(),
+            before.join(left, "u").join(right, "v").where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(),
             "edges",
         )
+        discard(before, hooks)
     if found is None:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return found

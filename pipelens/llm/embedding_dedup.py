@@ -1,19 +1,24 @@
 """Near-duplicate vectors: spherical k-means cells, blocked cosine products within cells.
 
 Vectors of equal label and length, and of equal values, are one class with a count, so that copies of any number are one
-row. Centroids are trained on a bounded sample (MAX_SAMPLE classes in order of a hash); there are as many cells as give
-about CELL_ROWS classes a cell, at most MAX_CELLS. Each class lives in the cell of its nearest centroid. It is also a
-guest in each other cell that may hold a vector within the angle of the threshold: that is so unless its distance to
-the plane between the two centroids exceeds the angle's sine. With that bound no link is lost. Cells are cut into
-blocks, pairs of blocks are multiplied by numpy in double precision, and each pair gives the number of links of each
-class and links to one class of a group only, never all pairs.
+row. Centroids are trained on a bounded sample (MAX_SAMPLE classes in order of a hash). Each class lives in the cell of
+its nearest centroid. It is also a guest in each earlier cell that may hold a vector within the angle of the threshold:
+that is so unless its distance to the plane between the two centroids exceeds the angle's sine. Of two linked vectors in
+different cells the one in the later cell is thus a guest of the other, and no link is lost.
 
-On vectors that point everywhere the bound makes guests in nearly all cells, and the work is that of comparing all
-vectors of a label, in blocks; it falls as the vectors cluster.
+There are as many cells as give about CELL_ROWS classes a cell, at most MAX_CELLS, but no more than COPIES copies of a
+class on average, as the sample shows: on vectors that point everywhere nearly every cell may hold a neighbour, and few
+cells stay; the more the vectors cluster, the more cells there are.
+
+The classes of a label in a cell are dealt to groups of about GROUP_ROWS, one in most cells. A task holds the vectors
+of one group and multiplies them, in blocks and in double precision, with each other and with all later groups and
+guests of the cell, which pass by in a stream. So a vector is sent once for each cell it visits and once for each
+further group of a cell that is larger than a task. A block of products gives each class's number of links, and links
+that join what it joins, fewer than it has classes, never all pairs.
 
 Vectors that are null, empty, zero or hold null or non-finite components link with nothing, neither do rows with a null
-label. Rows with equal ids are vectors of their own in the counts and one node in the components. Extra columns are left
-out; an empty table gives an empty result.
+label. Vectors whose length is not the commonest share the first cell. Rows with equal ids are vectors of their own in
+the counts and one node in the components. Extra columns are left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,10 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pipelens.llm.common import connected_components, staged
-from pipelens.llm.vectors import blocks, matrix, usable
+from pipelens.llm.common import connected_components, discard, staged
+from pipelens.llm.vectors import usable
 
-CELL_ROWS, MAX_CELLS, MAX_SAMPLE, BLOCK = 8192, 4096, 16_384, 1024
+CELL_ROWS, MAX_CELLS, MAX_SAMPLE, COPIES = 256, 4096, 16_384, 3.5
+GROUP_ROWS, BLOCK = 16_384, 1024
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
@@ -53,9 +59,29 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def guests(s: np.ndarray, home: np.ndarray, centroids: np.ndarray, sine: float) -> np.ndarray:
+    """For products with the centroids: the earlier cells that may hold a vector within the angle of each row."""
+    gap = np.sqrt(np.maximum(0, 2 - 2 * (centroids @ centroids.T)))[home] if len(centroids) <= 512 else np.linalg.norm(centroids[home][:, None] - centroids[None], axis=2)
+    near = s[np.arange(len(s)), home][:, None] - s <= sine * gap + 1e-9
+    return near & (np.arange(len(centroids)) < home[:, None])
+
+
+def choose_centroids(x: np.ndarray, count: int, sine: float, cell_rows: int, copies: float) -> np.ndarray:
+    """Centroids trained on unit vectors ``x``, a sample of ``count``: as many as asked for, while guests are few."""
+    most = min(MAX_CELLS, len(x) // 4, -(-count // cell_rows))
+    best, k = spherical_kmeans(x, 1), 2
+    while k <= most:
+        c = spherical_kmeans(x, k)
+        part = x[:2048]
+        s = part @ c.T
+        if k > 2 and 1 + guests(s, s.argmax(1), c, sine).sum(1).mean() > copies:
+            break
+        best, k = c, 2 * k
+    return best
+
+
 def _assign(batches: Iterator[pa.RecordBatch], centroids: np.ndarray, sine: float) -> Iterator[pa.RecordBatch]:
-    """Home (guest = false) and guest cells of each class, as lists."""
-    gaps = np.linalg.norm(centroids[:, None] - centroids[None], axis=2) if len(centroids) <= 512 else None
+    """Home (first) and guest cells of each class, as lists."""
     for batch in batches:
         vectors = batch.column(batch.schema.get_field_index("vector"))
         cells = []
@@ -70,39 +96,97 @@ def _assign(batches: Iterator[pa.RecordBatch], centroids: np.ndarray, sine: floa
             if len(fit):
                 s = unit(np.stack([flat[ends[i] - lengths[i] : ends[i]] for i in fit])) @ centroids.T
                 home = s.argmax(1)
-                gap = gaps[home] if gaps is not None else np.linalg.norm(centroids[home][:, None] - centroids[None], axis=2)
-                near = s[np.arange(len(fit)), home][:, None] - s <= sine * gap + 1e-9
-                near[np.arange(len(fit)), home] = False
-                found = {i: [int(h), *map(int, np.flatnonzero(g))] for i, h, g in zip(fit, home, near)}
+                found = {i: [int(h), *map(int, np.flatnonzero(g))] for i, h, g in zip(fit, home, guests(s, home, centroids, sine))}
             cells += [found.get(i, [0]) for i in some]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.list_(pa.int32()))], names=[*batch.schema.names, "cells"])
 
 
+class _Group:
+    """The vectors of one group, and what they link with so far."""
+
+    def __init__(self):
+        self.reps, self.ns, self.parts = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+        self.x: np.ndarray | None = None
+        self.links = self.ns
+
+    def add(self, reps: np.ndarray, ns: np.ndarray, x: np.ndarray) -> None:
+        self.reps, self.ns = np.append(self.reps, reps), np.append(self.ns, ns)
+        self.parts.append(x)
+
+    def close(self, threshold: float) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Compares the vectors with each other; links found, as pairs of arrays."""
+        self.x = np.concatenate(self.parts)
+        self.links, self.parts, out = np.zeros(len(self.x), np.int64), [], []
+        for a in range(0, len(self.x), BLOCK):
+            for b in range(a, len(self.x), BLOCK):
+                one, two = slice(a, a + BLOCK), slice(b, b + BLOCK)
+                hit = self.x[one] @ self.x[two].T >= threshold
+                if a == b:
+                    np.fill_diagonal(hit, False)
+                if hit.any():
+                    self.links[one] += hit @ self.ns[two]
+                    if a != b:
+                        self.links[two] += self.ns[one] @ hit
+                    more = _forest(hit)
+                    out.append((self.reps[one][more[:, 0]], self.reps[two][more[:, 1]]))
+        return out
+
+    def meet(self, reps: np.ndarray, ns: np.ndarray, x: np.ndarray, threshold: float) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """Compares the vectors with others: links of each of those, and links found."""
+        own, out = np.zeros(len(reps), np.int64), []
+        for a in range(0, len(self.x), BLOCK):
+            one = slice(a, a + BLOCK)
+            hit = self.x[one] @ x.T >= threshold
+            if hit.any():
+                self.links[one] += hit @ ns
+                own += self.ns[one] @ hit
+                more = _forest(hit)
+                out.append((self.reps[one][more[:, 0]], reps[more[:, 1]]))
+        return own, out
+
+
+def _rows_of(links: list[tuple[np.ndarray, np.ndarray]], pairs: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """(rep, links, near): numbers of links, and links."""
+    counted = [(r[n > 0], n[n > 0]) for r, n in links]
+    rep = np.concatenate([np.zeros(0, np.int64), *[r for r, _ in counted], *[u for u, _ in pairs]])
+    if len(rep):
+        numbers = np.concatenate([np.zeros(0, np.int64), *[n for _, n in counted], *[0 * u for u, _ in pairs]])
+        near = np.concatenate([np.zeros(0, np.int64), *[0 * r for r, _ in counted], *[v for _, v in pairs]])
+        counts_only = np.arange(len(rep)) < sum(len(r) for r, _ in counted)
+        yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(numbers), pa.array(near, mask=counts_only)], names=["rep", "links", "near"])
+
+
 def _compare(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """For each pair of blocks: (rep, links, near): links to rows of ``near`` in number, and one class to hook to."""
+    """Rows come by unit (a group of a cell), the group's own vectors first."""
+    now, group = None, _Group()
     for batch in batches:
-        for row in range(len(batch)):
-            get = lambda c: batch.column(batch.schema.get_field_index(c))[row]  # noqa: E731, B023
-            home, other = get("reps").values.to_numpy(), get("reps2").values.to_numpy()
-            n_home, n_other = get("ns").values.to_numpy(), get("ns2").values.to_numpy()
-            same, guest = get("same").as_py(), get("guest2").as_py()
-            x, y = unit(matrix(get("vs"))), unit(matrix(get("vs2")))
-            hit = x @ y.T >= threshold
-            if guest:
-                hit &= other[None, :] < home[:, None]
-            if same:
-                hit &= ~np.eye(len(home), dtype=bool)
-                links = hit @ n_other
-                nodes, counts = home[links > 0], links[links > 0]
-            else:
-                a, b = hit @ n_other, n_home @ hit
-                nodes = np.concatenate([home[a > 0], other[b > 0]])
-                counts = np.concatenate([a[a > 0], b[b > 0]])
-            more = _forest(hit)
-            u, v = home[more[:, 0]], other[more[:, 1]]
-            if len(nodes):
-                rows = [pa.array(np.concatenate([nodes, u]).astype(np.int64)), pa.array(np.concatenate([counts, 0 * u]).astype(np.int64)), pa.array([*[None] * len(nodes), *v.tolist()], pa.int64())]
-                yield pa.RecordBatch.from_arrays(rows, names=["rep", "links", "near"])
+        unit_of = batch.column(0).to_numpy()
+        passing = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+        reps, ns = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+        edge = np.flatnonzero((unit_of[1:] != unit_of[:-1]) | (passing[1:] != passing[:-1])) + 1
+        starts = [0, *edge.tolist(), len(batch)]
+        for lo, hi in zip(starts, starts[1:]):
+            if unit_of[lo] != now:
+                if group.x is None and group.parts:
+                    yield from _rows_of([], group.close(threshold))
+                yield from _rows_of([(group.reps, group.links)], [])
+                now, group = unit_of[lo], _Group()
+            for at in range(lo, hi, BLOCK):
+                stop = min(at + BLOCK, hi)
+                lists = batch.column(4).slice(at, stop - at)
+                x = unit(lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(stop - at, -1))
+                if not passing[at]:
+                    group.add(reps[at:stop], ns[at:stop], x)
+                    continue
+                if group.x is None:
+                    if not group.parts:
+                        break  # guests of a cell where nobody lives
+                    yield from _rows_of([], group.close(threshold))
+                own, pairs = group.meet(reps[at:stop], ns[at:stop], x, threshold)
+                yield from _rows_of([(reps[at:stop], own)], pairs)
+    if group.x is None and group.parts:
+        yield from _rows_of([], group.close(threshold))
+    yield from _rows_of([(group.reps, group.links)], [])
 
 
 def _forest(hit: np.ndarray) -> np.ndarray:
@@ -121,41 +205,44 @@ def _forest(hit: np.ndarray) -> np.ndarray:
     return np.array(out, int).reshape(-1, 2)
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.93, cell_rows: int = CELL_ROWS, id: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
+def near_vectors(
+    vectors: DataFrame, threshold: float = 0.93, cell_rows: int = CELL_ROWS, id: str = "vec_id", vector: str = "embedding", label: str = "label",
+    copies: float = COPIES, group_rows: int = GROUP_ROWS,
+) -> DataFrame:
     """(id, n_links, component_id, kept), a row for each row of ``vectors``."""
     rows = vectors.select(F.col(id).cast("long").alias("id"), F.col(label).alias("label"), F.col(vector).alias("vector"))
     takes_part = usable("vector") & F.exists("vector", lambda x: x != 0) & F.col("label").isNotNull() & F.col("id").isNotNull()
-    rows = staged(rows.withColumn("ok", takes_part), "vectors")
+    rows = rows.withColumn("ok", takes_part)
     key = [F.xxhash64("vector").alias("h1"), F.xxhash64(F.lit(1), "vector").alias("h2"), F.size("vector").alias("dim")]
     classes = staged(
         rows.where("ok").select("id", "label", "vector", *key).groupBy("label", "dim", "h1", "h2")
         .agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("vector").alias("vector")),
         "classes",
     )
-    total = classes.count()
     sizes = classes.groupBy("dim").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "dim").limit(1).collect()
     centroids = np.zeros((1, 1))
+    sine = float(np.sqrt(max(0.0, 1 - threshold**2))) if threshold > 0 else 2.0
     if sizes:
         dim, count = sizes[0]
-        k = int(max(1, min(MAX_CELLS, -(-count // cell_rows), MAX_SAMPLE // 4)))
         sample = classes.where(F.col("dim") == dim).orderBy("h1", "h2", "label").limit(MAX_SAMPLE).select("vector").toPandas()["vector"]
-        centroids = spherical_kmeans(unit(np.stack(sample).astype(np.float64)), min(k, len(sample)))
-    sine = float(np.sqrt(max(0.0, 1 - threshold**2))) if threshold > 0 else 2.0
-    assigned = classes.select("label", "dim", "rep", "n", "vector").mapInArrow(
-        lambda batches: _assign(batches, centroids, sine),
-        classes.select("label", "dim", "rep", "n", "vector").schema.add("cells", T.ArrayType(T.IntegerType())),
+        centroids = choose_centroids(unit(np.stack(sample).astype(np.float64)), count, sine, cell_rows, copies)
+    narrow = ["label", "dim", "rep", "n", "vector"]
+    assigned = staged(
+        classes.select(*narrow).mapInArrow(lambda batches: _assign(batches, centroids, sine), classes.select(*narrow).schema.add("cells", T.ArrayType(T.IntegerType()))),
+        "assigned",
     )
-    placed = assigned.select("label", "dim", "rep", "n", "vector", F.posexplode("cells").alias("guest", "cell")).withColumn("guest", F.col("guest") > 0)
-    packed = staged(blocks(placed, ["label", "dim", "cell", "guest"], BLOCK, ["rep", "n", "vector"], F.xxhash64("rep")), "blocks")
-    home = packed.where("not guest").select("label", "dim", "cell", "block", F.col("rep").alias("reps"), F.col("n").alias("ns"), F.col("vector").alias("vs"))
-    other = packed.select("label", "dim", "cell", F.col("block").alias("block2"), F.col("guest").alias("guest2"), F.col("rep").alias("reps2"), F.col("n").alias("ns2"), F.col("vector").alias("vs2"))
-    pairs = (
-        home.join(other, ["label", "dim", "cell"])
-        .where("guest2 or block <= block2")
-        .select("reps", "ns", "vs", "reps2", "ns2", "vs2", "guest2", (~F.col("guest2") & (F.col("block") == F.col("block2"))).alias("same"))
-        .repartition(max(8, min(4096, total // 4096)))
+    # A cell of a label has as many groups as its residents ask for; a class's own group comes from its hash.
+    crowds = assigned.groupBy("label", "dim", F.col("cells")[0].alias("cell")).agg(F.ceil(F.count(F.lit(1)) / group_rows).alias("groups"))
+    placed = assigned.select(*narrow, F.posexplode("cells").alias("guest", "cell")).join(crowds, ["label", "dim", "cell"])
+    own = F.pmod(F.xxhash64("rep", "n"), F.col("groups"))
+    last = F.when(F.col("guest") > 0, F.col("groups") - 1).otherwise(own)
+    sent = placed.withColumn("own", own).withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    sent = sent.select(
+        F.xxhash64("label", "dim", "cell", "group").alias("unit"), ((F.col("guest") > 0) | (F.col("group") != F.col("own"))).alias("passing"), "rep", "n", "vector"
     )
-    found = staged(pairs.mapInArrow(lambda batches: _compare(batches, threshold), "rep long, links long, near long"), "found")
+    streamed = sent.repartition("unit").sortWithinPartitions("unit", "passing", "rep")
+    found = staged(streamed.mapInArrow(lambda batches: _compare(batches, threshold), "rep long, links long, near long"), "found")
+    discard(assigned)
     component = connected_components(found.where("near is not null").select(F.col("rep").alias("u"), F.col("near").alias("v")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     named = (

@@ -122,10 +122,44 @@ from h left join hits on h.host = hits.host and h.path = hits.path
 """ % ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
 
+REACH = """, reach(a, b) as (
+  select u, u from links union select r.a, l.v from reach r join links l on r.b = l.u
+), components as (select a as id, min(b) as component_id from reach group by a)"""
+
+#: Word sets are joined on their shingles, so that all pairs that share one are counted.
+OP4_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), s as (
+  select doc_id, case when len(w) = 0 then [] when len(w) = 1 then [w[1]] else list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) end as s from w
+), t as (
+  select doc_id, len(s) as n, unnest(s) as t from s
+), shared as (
+  select a.doc_id as u, b.doc_id as v, a.n as nu, b.n as nv, count(*) as c from t a join t b on a.t = b.t and a.doc_id <> b.doc_id group by all
+), links as (
+  select u, v from shared where 100 * c >= 80 * (nu + nv - c)
+)%s
+select s.doc_id, len(s.s)::bigint as n_shingles, coalesce(c.component_id, s.doc_id) as component_id, coalesce(c.component_id, s.doc_id) = s.doc_id as kept
+from s left join components c on c.id = s.doc_id
+""" % REACH
+
+OP10_SQL = """
+with recursive e as (
+  select vec_id, label, list_transform(embedding, lambda x: x::double) as v from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links as (
+  select a.vec_id as u, b.vec_id as v from e a join e b on a.label = b.label and a.vec_id <> b.vec_id and len(a.v) = len(b.v)
+  where list_cosine_similarity(a.v, b.v) >= 0.93
+)%s
+select m.vec_id, coalesce(l.n, 0)::bigint as n_links, coalesce(c.component_id, m.vec_id) as component_id, coalesce(c.component_id, m.vec_id) = m.vec_id as kept
+from embeddings m left join (select u, count(*) as n from links group by u) l on l.u = m.vec_id left join components c on c.id = m.vec_id
+""" % REACH
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [op1_packing, op2_toxicity, op3_sentencepiece, op4_minhash, op5_topk, op6_html_text, op7_line_dedup, op8_url_filter, op9_language_id, op10_embedding_dedup]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_topk": OP5_SQL, "op8_url_filter": OP8_SQL}
+    return {"op4_minhash": OP4_SQL, "op5_topk": OP5_SQL, "op8_url_filter": OP8_SQL, "op10_embedding_dedup": OP10_SQL}

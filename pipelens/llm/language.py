@@ -51,13 +51,17 @@ class LanguageModel:
 
 def train(docs: DataFrame, max_train: int = MAX_TRAIN, max_chars: int = MAX_CHARS, seed: int = 7) -> LanguageModel | None:
     """Learns from text and non-null lang of documents outside the held-out fold; None without any."""
-    rows = docs.where(~held_out("doc_id") & F.col("lang").isNotNull() & (F.length("text") > 0) & (F.length("text") <= max_chars))
-    salted = F.pmod(F.xxhash64("text"), F.lit(64))
-    # The best of each of 64 parts of a language first, so that no task ranks a whole language.
-    part = Window.partitionBy("lang", "part").orderBy("h", "doc_id")
-    rows = rows.select("doc_id", "lang", "text", salted.alias("part"), F.xxhash64("text", F.lit(seed)).alias("h"))
-    rows = rows.withColumn("k", F.row_number().over(part)).where(F.col("k") <= -(-max_train // 64))
-    sample = rows.select("lang", "text", "h").toPandas().sort_values(["lang", "h", "text"])
+    usable = ~held_out("doc_id") & F.col("lang").isNotNull() & (F.length("text") > 0) & (F.length("text") <= max_chars)
+    texts = docs.where(usable).select("doc_id", "lang", "text", F.xxhash64("text").alias("th"))
+    # Ids first, without texts. The best of each of 64 parts of a language, so that no task ranks a whole language;
+    # equal rows share a rank.
+    ids = texts.select("doc_id", "lang", "th", F.xxhash64("doc_id", "th", F.lit(seed)).alias("h")).withColumn("part", F.pmod("h", F.lit(64)))
+    few = ids.withColumn("k", F.dense_rank().over(Window.partitionBy("lang", "part").orderBy("h"))).where(F.col("k") <= -(-max_train // 64))
+    few = few.select("doc_id", "lang", "th", "h").distinct()
+    few = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "th"))).where(F.col("k") <= max_train)
+    # Broadcast: max_train ids of each language. Copies of a chosen row are one text before they are collected.
+    chosen = texts.join(F.broadcast(few.select("doc_id", "lang", "th", "h")), ["doc_id", "lang", "th"])
+    sample = chosen.groupBy("lang", "h").agg(F.min("text").alias("text")).toPandas().sort_values(["lang", "h", "text"])
     if not len(sample):
         return None
     languages = sorted(sample["lang"].unique())
@@ -97,5 +101,5 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
                         scores.append(min(1.0, float(score)))
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
 
-    out = docs.withColumn("__p", predict(F.col("text").cast("string")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "__p.lang_pred", "__p.score")
+    out = docs.select("*", predict(F.col("text").cast("string")).alias("__predicted_language"))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "__predicted_language.lang_pred", "__predicted_language.score")

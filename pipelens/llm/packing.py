@@ -7,8 +7,12 @@ and what that leaves of the histogram is packed greedily: the longest rest opens
 still fit follow. So a plan is a list of patterns with repeat counts, a few thousand rows whatever the size of the
 corpus, and each rest finds its sequence and offset from its rank among the rests of its length.
 
-Ranks come from counts by (length, bucket) and row numbers within a bucket. Buckets grow in number with the rows, so a
-length that most rests share is dealt over many tasks.
+Pieces that are equal in every column are one row with a count until the end. Ranks come from counts by (length,
+bucket) and running counts within a bucket; a length has as many buckets as its own number of pieces asks for, so that
+one that most rests share is dealt over many tasks, and rare ones are not split.
+
+Ids are those of the tokenizer file. Where tiktoken computes the same thing it does the work; what it cannot do (white
+space of a million characters) the tokenizers library does.
 
 Null texts count as empty. Every document ends with ``end_id``, so that each gives at least one piece. Rows that repeat
 an id are packed each for itself. An empty table gives an empty result; of extra columns only the id passes through.
@@ -164,7 +168,19 @@ def _encoder(tokenizer: str):
         # tiktoken merges by id, so ids have to follow the order of the merges. Ids that special tokens have are kept.
         if all(a < b for a, b in zip(in_order, in_order[1:])) and len(ranks) == 256 + len(merges):
             fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-            return lambda texts: [fast.encode(t, allowed_special="all") for t in texts]
+
+            def ids(text: str) -> list[int]:
+                try:
+                    return fast.encode(text, allowed_special="all")
+                except ValueError:  # its pattern gives up on very long white space
+                    return _library(tokenizer)([text])[0]
+
+            return lambda texts: [ids(t) for t in texts]
+    return _library(tokenizer)
+
+
+@lru_cache(1)
+def _library(tokenizer: str):
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(tokenizer)
@@ -203,7 +219,6 @@ def place_pieces(pieces: DataFrame, window: int = WINDOW, depth: int = 3) -> Dat
     """``pieces`` with sequence_id and offset; pieces of 1 to ``window`` ids share sequences by the plan."""
     spark = pieces.sparkSession
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # `window` rows at most
-    total = sum(counts.values())
     histogram = np.zeros(window + 1, np.int64)
     for length, n in counts.items():
         histogram[length] = n
@@ -224,18 +239,19 @@ def place_pieces(pieces: DataFrame, window: int = WINDOW, depth: int = 3) -> Dat
     # Fewer than two rows for each combination or window of the greedy rest: bounded by `window` and `depth` alone.
     slots = spark.createDataFrame(rows, "length long, lo long, hi long, each long, first long, at long")
 
-    # The histogram is known, so the number of buckets follows the rows; equal rows are equal in every column.
-    buckets = max(1, -(-total // BUCKET_ROWS))
-    own = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)))
-    sums = own.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32")
-    ranked = (
-        own.withColumn("rank", F.row_number().over(inside) - 1)
-        .join(starts, ["length", "bucket"])
-        .withColumn("rank", F.col("rank") + F.col("base"))
-    )
+    columns = pieces.columns
+    own_buckets = F.element_at(F.array(*[F.lit(max(1, -(-counts.get(n, 0) // BUCKET_ROWS))) for n in range(1, window + 1)]), F.col("length").cast("int"))
+    own = pieces.groupBy(*columns).agg(F.count(F.lit(1)).alias("__n")).withColumn("__bucket", F.pmod(F.xxhash64(*columns), own_buckets))
+    sums = own.groupBy("length", "__bucket").agg(F.sum("__n").alias("__n"))
+    earlier = lambda w: F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sums.select("length", "__bucket", earlier(Window.partitionBy("length").orderBy("__bucket")).alias("__base"))
+    within = Window.partitionBy("length", "__bucket").orderBy(*columns)
+    ranked = own.withColumn("__first", earlier(within)).join(starts, ["length", "__bucket"])
+    # Equal pieces come apart again, in runs, so that a row of any count makes no long array.
+    run = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / BUCKET_ROWS))).alias("__run")
+    ranked = ranked.select(*columns, "__n", (F.col("__first") + F.col("__base")).alias("__rank"), run)
+    last = F.least(F.col("__n") - 1, (F.col("__run") + 1) * BUCKET_ROWS - 1)
+    ranked = ranked.select(*columns, "__rank", F.explode(F.sequence(F.col("__run") * BUCKET_ROWS, last)).alias("__step")).select(*columns, (F.col("__rank") + F.col("__step")).alias("rank"))
     hit = (F.col("s.length") == F.col("p.length")) & (F.col("p.rank") >= F.col("s.lo")) & (F.col("p.rank") < F.col("s.hi"))
     step = F.col("p.rank") - F.col("s.lo")
     return ranked.alias("p").join(F.broadcast(slots).alias("s"), hit).select(

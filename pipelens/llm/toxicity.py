@@ -5,8 +5,8 @@ first four and five bytes. Filters over 1, 2 and 3 words, max pooling over the w
 The network is trained in numpy on labelled texts outside the held-out fold; one dimension of the embeddings starts
 from how much oftener a feature stands in toxic texts than in others.
 
-The training sample is bounded: at most MAX_TRAIN texts of either label (in order of a hash), of up to MAX_CHARS
-characters. Scoring covers whole texts of any length. Thresholds are calibrated by language on a part of the sample
+The training sample is bounded: at most MAX_TRAIN documents of either label (in order of a hash), one text of each, of
+up to MAX_CHARS characters. Scoring covers whole texts of any length. Thresholds are calibrated by language on a part of the sample
 that the weights were not fitted to: the one of best F1 where a language has MIN_POSITIVE positive texts there, the
 overall one else. Language chooses a threshold only; it is no input of a score.
 
@@ -93,7 +93,9 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_ch
     # Broadcast: ids only, 2 * (max_train + 63) rows at most.
     texts = docs.select("doc_id", "lang", "text").where((F.length("text") > 0) & (F.length("text") <= max_chars))
     rows = texts.join(F.broadcast(chosen), "doc_id")
-    sample = rows.select("lang", "text", "toxic", "h").toPandas().sort_values(["h", "text"], ignore_index=True)
+    # One text of an id, however many rows repeat it: the one of least hash.
+    one = rows.groupBy("doc_id", "toxic", "h").agg(F.min(F.struct(F.xxhash64("text"), "text", "lang")).alias("t"))
+    sample = one.select("t.lang", "t.text", "toxic", "h").toPandas().sort_values(["h", "text"], ignore_index=True)
     y = sample["toxic"].to_numpy(int) if len(sample) else np.zeros(0, int)
     if len(set(y.tolist())) < 2:
         return None

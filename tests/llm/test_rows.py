@@ -48,7 +48,7 @@ def test_urls_like_brute_force(spark, monkeypatch):
     pages = spark.createDataFrame([(i, u, "x", 1) for i, u in enumerate(urls)] * 2, "page_id bigint, url string, rule string, key int")
     table = spark.createDataFrame(listed, "host string, path string, verdict string")
     for most in (1, 1 << 17):  # a filter that is full passes all keys to the exact join
-        monkeypatch.setattr(url_filter, "MAX_BLOCKS", most)
+        monkeypatch.setattr(url_filter, "SENT_BLOCKS", most)
         got = filter_urls(pages, table).collect()
         assert len(got) == 2 * len(urls)
         assert all((r.host, r.path, r.rule, r.verdict) == judge(urls[r.page_id], listed) for r in got)
