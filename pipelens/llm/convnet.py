@@ -7,6 +7,7 @@ a fixed number of units that also see the first units of the next window, so tha
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -14,18 +15,30 @@ import numpy as np
 PAD = 0
 
 
-def windows(counts: np.ndarray, length: int, beyond: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Index matrix (length + beyond, windows) into units laid end to end, -1 for none; each text's first window.
+def window_slices(counts: np.ndarray, length: int, beyond: int, step: int) -> tuple[np.ndarray, np.ndarray, Iterator[np.ndarray]]:
+    """Each text's first window and number of windows, and index matrices (length + beyond, step windows) into units
+    laid end to end, -1 for none.
 
     Texts without units have one empty window.
     """
-    first_unit = np.cumsum(counts) - counts
     n = np.maximum(1, -(-counts // length))
     first = np.cumsum(n) - n
     doc = np.repeat(np.arange(len(counts)), n)
-    inside = (np.arange(len(doc)) - first[doc]) * length
-    at = inside + np.arange(length + beyond)[:, None]
-    return np.where(at < counts[doc], at + first_unit[doc], -1), first, n
+    begin = (np.cumsum(counts) - counts)[doc] + (np.arange(len(doc)) - first[doc]) * length
+    stop = np.cumsum(counts)[doc]
+
+    def slices() -> Iterator[np.ndarray]:
+        for k in range(0, len(doc), step):
+            at = begin[k : k + step] + np.arange(length + beyond)[:, None]
+            yield np.where(at < stop[k : k + step], at, -1)
+
+    return first, n, slices()
+
+
+def windows(counts: np.ndarray, length: int, beyond: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One index matrix for all windows; each text's first window and number of windows."""
+    first, n, slices = window_slices(counts, length, beyond, 1 << 30)
+    return next(slices), first, n
 
 
 @dataclass

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pipelens.llm.common import held_out
-from pipelens.llm.convnet import ConvNet, windows
+from pipelens.llm.convnet import ConvNet, window_slices
 from pipelens.llm.shingles import _LOWER, texts_of
 
 WINDOW = 256
@@ -42,10 +42,8 @@ class LanguageModel:
         for _, data, offsets in texts_of(column):
             low = np.append(_LOWER[data], np.uint8(0))
             counts = np.diff(offsets)
-            at, first, n = windows(counts, WINDOW, self.net.beyond)
-            found = []
-            for k in range(0, at.shape[1], 1024):
-                found.append(self.net.classify(self.net.pooled_bytes(low[at[:, k : k + 1024]], WINDOW)))
+            first, n, slices = window_slices(counts, WINDOW, self.net.beyond, 1024)
+            found = [self.net.classify(self.net.pooled_bytes(low[at], WINDOW)) for at in slices]
             yield np.add.reduceat(np.concatenate(found), first, axis=0) / n[:, None]
 
 

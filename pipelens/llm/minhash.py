@@ -14,9 +14,13 @@ candidates (in different components, of fitting sizes) are confirmed on the full
 just under the threshold differ in their rare shingles, so that they give few candidates however many they are. Two
 texts at the threshold share no bucket with a chance of 3e-7, less above it.
 
+A pair is confirmed where the centre's text and its partners' meet: the centre is sent once for each CENTRE_ROWS of its
+partners, who pass by in a stream. Shingles of many postings are joined in parts, so that no task gets all of one.
+
 Null and empty texts, and texts of white space, have an empty set and link with nothing. Texts under k words are one
-shingle. Repeated rows are copies of each other. Extra columns are left out; an empty table gives an empty result.
-Ids are integers; rows with a null id link with nothing.
+shingle. Repeated rows are copies of each other. Rows that repeat an id with other texts are documents of their own:
+each is in the class of its text. Extra columns are left out; an empty table gives an empty result. Ids are integers;
+rows with a null id link with nothing.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pipelens.llm.common import connected_components, staged
+from pipelens.llm.common import connected_components, discard, staged
 from pipelens.llm.shingles import mix, shingle_sets
 
 BANDS, ROWS, BITS = 38, 5, 4
@@ -38,6 +42,8 @@ MARGIN = 0.13
 #: Buckets of the table of counts that orders shingles; it is collected and sent to all tasks, 2 MB.
 ORDER = 1 << 18
 LONGS = HASHES * BITS // 64
+#: Partners that a centre's text is sent to at once; postings of a shingle that one part of its join holds.
+CENTRE_ROWS, POSTINGS = 512, 4096
 _A = (mix(np.arange(1, HASHES + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _C = (mix(np.arange(1001, HASHES + 1001, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
@@ -70,18 +76,18 @@ def band_keys(low: np.ndarray) -> np.ndarray:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n_shingles", "s1", "s2", "sig", "bands"]
+    names = ["doc_id", "th", "n_shingles", "s1", "s2", "sig", "bands"]
     for batch in batches:
         n, sums, sigs, bands, at = [], [], [], [], 0
 
         def out() -> pa.RecordBatch:
-            ids = batch.column(0)[at : at + len(n)]
+            ids, hashes = batch.column(0)[at : at + len(n)], batch.column(2)[at : at + len(n)]
             both = np.array(sums, np.uint64).reshape(-1, 2).view(np.int64)
             lists = [
                 pa.ListArray.from_arrays(np.cumsum([0, *map(len, x)]).astype(np.int32), pa.array(np.concatenate([np.zeros(0, np.int64), *x])))
                 for x in (sigs, bands)
             ]
-            return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), *lists], names=names)
+            return pa.RecordBatch.from_arrays([ids, hashes, pa.array(n, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), *lists], names=names)
 
         for found in shingle_sets(batch.column(1), k):
             n.append(len(found))
@@ -103,10 +109,11 @@ def _sketch(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, s1, s2, sig, bands): s1 and s2 stand for the whole set; sig and bands of empty sets are empty."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
+    """(doc_id, th, n_shingles, s1, s2, sig, bands): th is the text's hash, s1 and s2 stand for the whole set; sig and
+    bands of empty sets are empty."""
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string")).alias("th")).mapInArrow(
         lambda batches: _sketch(batches, k),
-        "doc_id long, n_shingles long, s1 long, s2 long, sig array<long>, bands array<long>",
+        "doc_id long, th long, n_shingles long, s1 long, s2 long, sig array<long>, bands array<long>",
     )
 
 
@@ -124,25 +131,27 @@ def estimate(a: str, b: str) -> Column:
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows (v, salt, partner, id, text): a centre's text, then its partners'."""
     centre, other = None, None
     for batch in batches:
-        left, right = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        links = []
-        for i, own in enumerate(shingle_sets(batch.column(2), k)):
-            if other is None or right[i] != centre:  # rows come in order of the centre
-                centre, other = right[i], next(shingle_sets(batch.column(3).slice(i, 1), k))
-            if 100 * min(len(own), len(other)) >= percent * max(len(own), len(other)):
+        centres, partner, ids = (batch.column(c).to_pylist() for c in (0, 2, 3))
+        u, v = [], []
+        for i, own in enumerate(shingle_sets(batch.column(4), k)):
+            if not partner[i]:
+                centre, other = centres[i], own
+            elif centre == centres[i] and 100 * min(len(own), len(other)) >= percent * max(len(own), len(other)):
                 both = len(np.intersect1d(own, other, assume_unique=True))
                 if 100 * both >= percent * (len(own) + len(other) - both):
-                    links.append((left[i], centre))
-        u, v = zip(*links) if links else ((), ())
+                    u.append(ids[i])
+                    v.append(centre)
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
-def texts_of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, text) of the documents with the ids ``ids(id)``."""
-    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
-    return texts.join(ids.distinct(), "id", "left_semi")
+def texts_of_classes(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, text): one text of each class that ``wanted(id)`` names."""
+    some = classes.select(F.col("rep").alias("id"), "doc_id", "th").join(wanted.distinct(), "id", "left_semi")
+    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string")).alias("th"))
+    return texts.join(some, ["doc_id", "th"]).groupBy("id").agg(F.first("text").alias("text"))
 
 
 def _share(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -194,46 +203,48 @@ def prefix_pairs(texts: DataFrame, k: int, percent: int) -> DataFrame:
     fits = (F.col("cu") != F.col("cv")) & (100 * F.col("nu") >= percent * F.col("nv")) & (F.struct("nu", "u") < F.struct("nv", "v"))
     # The first shingle that two sets share leaves room for enough others behind it.
     room = (100 + percent) * (1 + F.least(F.col("nu") - F.col("pu"), F.col("nv") - F.col("pv")) - 1) >= percent * (F.col("nu") + F.col("nv"))
-    return small.join(large, "token").where(fits & room).select("u", "v").distinct()
+    heavy = staged(rows.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > POSTINGS).select("token", F.ceil(F.col("c") / POSTINGS).alias("parts")), "heavy")
+    keys = ["token"]
+    if not heavy.isEmpty():  # one side of such a shingle is dealt to parts, the other goes to each
+        parts = F.coalesce("parts", F.lit(1))
+        small = small.join(heavy, "token", "left").withColumn("part", F.pmod(F.xxhash64("u"), parts)).drop("parts")
+        large = large.join(heavy, "token", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
+        keys = ["token", "part"]
+    return small.join(large, keys).where(fits & room).select("u", "v").distinct()
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of ``pairs(u, v)``, classes by their least ids, whose full sets are similar enough."""
-    return staged(
-        pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("tu")), "u")
-        .join(texts.select(F.col("id").alias("v"), F.col("text").alias("tv")), "v")
-        .sortWithinPartitions("v")
-        .select("u", "v", "tu", "tv")
-        .mapInArrow(lambda batches: _confirm(batches, k, percent), "u long, v long"),
-        "links",
-    )
+    """Those of ``pairs(u, v)`` of classes whose full sets, of ``texts(id, text)``, are similar enough."""
+    crowds = pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / CENTRE_ROWS).alias("salts"))
+    salted = pairs.join(crowds, "v").select("u", "v", F.pmod(F.xxhash64("u"), F.col("salts")).alias("salt"))
+    partners = salted.select(F.col("u").alias("id"), "v", "salt").join(texts, "id").select("v", "salt", F.lit(True).alias("partner"), "id", "text")
+    centres = salted.select("v", "salt").distinct().withColumn("id", F.col("v")).join(texts, "id").select("v", "salt", F.lit(False).alias("partner"), "id", "text")
+    met = centres.unionByName(partners).repartition("v", "salt").sortWithinPartitions("v", "salt", "partner")
+    return staged(met.mapInArrow(lambda batches: _confirm(batches, k, percent), "u long, v long"), "links")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), a row for each row of ``docs``.
+    """(doc_id, n_shingles, component_id, kept, th, leader), a row for each row of ``docs``.
 
     Texts link where 100 * size of intersection >= percent * size of union. component_id is the least id that links
-    reach; kept marks the rows that have it. Where rows with different texts repeat an id, the id's links are those of
-    all its texts.
+    reach; kept marks the rows that have it. th is xxhash64 of the text; leader marks the document (doc_id, th) that
+    comes first in its component, all documents without a word among them.
     """
-    all_docs = staged(sketches(docs, k), "sketches")
-    some = all_docs.where("n_shingles > 0 and doc_id is not null")
+    all_docs = staged(sketches(docs, k).withColumn("class", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.xxhash64("s1", "s2", "n_shingles"))), "sketches")
     classes = staged(
-        some.groupBy("s1", "s2", "n_shingles")
-        .agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-        .select("s1", "s2", "rep", "sig", "bands"),
+        all_docs.where("class is not null").groupBy(F.col("class").alias("rep"))
+        .agg(F.min(F.struct("doc_id", "th")).alias("one"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+        .select("rep", "one.doc_id", "one.th", "sig", "bands"),
         "classes",
-    )
+    )
     members = classes.select(F.explode("bands").alias("key"), "rep")
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi")
-    hits = staged(members.join(sizes.select("key", "n"), "key"), "hits")
+    shared = staged(members.join(sizes.select("key", "n"), "key"), "hits")
     # The text that most others resemble shares the most buckets, and the largest: the best centre of its buckets.
-    weight = hits.groupBy("rep").agg(F.sum("n").alias("weight"))
-    centres = (
-        hits.join(weight, "rep").groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("back"))).alias("best"))
-        .select("key", (-F.col("best.back")).alias("centre"))
-    )
-    hits = staged(hits.select("key", "rep").join(centres, "key"), "hits")
+    weight = shared.groupBy("rep").agg(F.sum("n").alias("weight"))
+    centres = shared.join(weight, "rep").groupBy("key").agg(F.max(F.struct("weight", "rep")).alias("best")).select("key", F.col("best.rep").alias("centre"))
+    hits = staged(shared.select("key", "rep").join(centres, "key"), "hits")
+    discard(shared)
     sigs = classes.select("rep", "sig")
     floor = percent / 100 - MARGIN
     pairs = hits.where("rep <> centre").select(F.col("rep").alias("u"), F.col("centre").alias("v")).distinct()
@@ -245,9 +256,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         .distinct(),
         "pairs",
     )
-    # Texts that share an id, under different sets, are one node.
     needed = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id")))
-    links = confirmed(pairs, staged(texts_of_ids(docs, needed), "texts"), k, percent)
+    texts = staged(texts_of_classes(docs, classes, needed), "texts")
+    links = confirmed(pairs, texts, k, percent)
+    discard(texts, pairs)
     component = connected_components(links)
 
     # Buckets that hold several components still: their members meet by the prefix filter, which loses no link.
@@ -258,20 +270,27 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         "members",
     )
     mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    unsettled = staged(named.join(mixed, "key").select("rep", "component").distinct(), "unsettled")
+    unsettled = staged(named.join(mixed, "key").select(F.col("rep").alias("id"), "component").distinct(), "unsettled")
+    discard(hits, named)
     if not unsettled.isEmpty():
-        texts = staged(texts_of_ids(docs, unsettled.select(F.col("rep").alias("id"))).join(unsettled.withColumnRenamed("rep", "id"), "id"), "texts")
+        texts = staged(texts_of_classes(docs, classes, unsettled.select("id")).join(unsettled, "id"), "texts")
         more = staged(prefix_pairs(texts, k, percent), "pairs")
         if not more.isEmpty():
+            before = component
             component = connected_components(links.unionByName(confirmed(more, texts.select("id", "text"), k, percent)))
-    tops = classes.join(component.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
-        "s1", "s2", F.coalesce("component", "rep").alias("component_id")
+            discard(before)
+        discard(texts, more)
+    grouped = classes.join(component.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
+        "rep", F.coalesce("component", "rep").alias("component"), F.struct("doc_id", "th").alias("one")
     )
-    tops = tops.select(F.col("s1").alias("k1"), F.col("s2").alias("k2"), "component_id")
-    k1 = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("s1"))
-    return (
-        all_docs.select("doc_id", "n_shingles", k1.alias("k1"), F.col("s2").alias("k2"))
-        .join(tops, ["k1", "k2"], "left")
-        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    first = grouped.groupBy("component").agg(F.min("one").alias("first"))
+    tops = grouped.join(first, "component").select(F.col("rep").alias("class"), "first")
+    here = F.struct("doc_id", "th")
+    return all_docs.select("doc_id", "th", "n_shingles", "class").join(tops, "class", "left").select(
+        "doc_id",
+        "n_shingles",
+        F.coalesce("first.doc_id", "doc_id").alias("component_id"),
+        F.coalesce(F.col("doc_id") == F.coalesce("first.doc_id", "doc_id"), F.lit(True)).alias("kept"),
+        "th",
+        F.coalesce(here == F.col("first"), F.lit(True)).alias("leader"),
     )

@@ -25,11 +25,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pipelens.llm.common import held_out
-from pipelens.llm.convnet import ConvNet, windows
-from pipelens.llm.shingles import Words, texts_of
+from pipelens.llm.convnet import ConvNet, window_slices
+from pipelens.llm.shingles import CHUNK, Words, long_hashes, texts_of
 
 BUCKETS = 1 << 16
-WINDOW = 128
+WINDOW, PREFIXES = 128, (4, 5)
 MAX_TRAIN, MAX_CHARS = 2048, 20_000
 MIN_POSITIVE = 20
 THRESHOLD = 0.3
@@ -39,12 +39,15 @@ _BREAK[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = Fa
 
 def word_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Buckets (words, 3) of each word and of its two prefixes, from 1; how many words each text has."""
-    words = Words(data, offsets, _BREAK)
-    parts = []
-    for k, size in enumerate((1 << 30, 4, 5)):
-        h = words.span_hash(words.start, np.minimum(words.stop, words.start + size))
-        parts.append((h >> np.uint64(7 * k)) % np.uint64(BUCKETS - 1) + np.uint64(1))
-    return np.stack(parts, 1).astype(np.int32), np.diff(words.first)
+    if len(data) > CHUNK and len(offsets) == 2:
+        h = long_hashes(data, PREFIXES, _BREAK)
+        counts = np.array([len(h)])
+    else:
+        words = Words(data, offsets, _BREAK)
+        h = np.stack([words.span_hash(words.start, np.minimum(words.stop, words.start + size)) for size in (1 << 30, *PREFIXES)], 1)
+        counts = np.diff(words.first)
+    places = np.array([7 * j for j in range(h.shape[1])], np.uint64)
+    return ((h >> places) % np.uint64(BUCKETS - 1) + np.uint64(1)).astype(np.int32), counts
 
 
 @dataclass
@@ -57,8 +60,8 @@ class ToxicityModel:
         for _, data, offsets in texts_of(column):
             units, counts = word_features(data, offsets)
             units = np.concatenate([units, np.zeros((1, 3), np.int32)])
-            at, first, _ = windows(counts, WINDOW, self.net.beyond)
-            found = [self.net.pooled(units[at[:, k : k + 256]], WINDOW) for k in range(0, at.shape[1], 256)]
+            first, _, slices = window_slices(counts, WINDOW, self.net.beyond, 256)
+            found = [self.net.pooled(units[at], WINDOW) for at in slices]
             yield self.net.classify(np.maximum.reduceat(np.concatenate(found), first, axis=0))[:, 1].astype(float)
 
     def limit(self, lang: str | Column) -> Column:
