@@ -10,8 +10,9 @@ The labelled pages are made here from templates (``labelled_pages``): articles i
 headers, footers, sidebars, notices, adverts, forms, share bars, related links and reader comments around and in them.
 
 Character references are decoded; white space in a block becomes one space; blocks are trimmed and joined by two
-newlines in page order. Null and empty pages give an empty text, as do pages without content. Markup that is cut off or
-badly nested is parsed as far as it goes. Rows are handled one by one; extra columns pass through; an empty table gives
+newlines in page order. Formulas and drawings inside a block are text of the block, as is what stands in for sound,
+video and other objects. Null and empty pages give an empty text, as do pages without content. Markup that is cut off or
+badly nested is parsed as far as it goes, at any depth and in a time that grows with the page's length. Rows are handled one by one; extra columns pass through; an empty table gives
 an empty result.
 """
 
@@ -21,7 +22,7 @@ import html as entities
 import random
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -31,9 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Names of HTML elements by how they are laid out.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym audio b bdi bdo big canvas cite code data del dfn em font i ins kbd label map mark object picture q rp rt ruby s samp small span strike strong sub sup time tt u var video wbr".split())
 VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("script style title noscript template textarea iframe object svg math canvas audio video select".split())
+SKIPPED = frozenset("script style title noscript template textarea iframe select".split())
+WRAPPERS = frozenset("div section center figure".split())
+#: All markup inside of these is inline.
+FOREIGN = frozenset("math svg".split())
 #: What an opening tag closes, and what that search does not leave.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
@@ -77,28 +81,68 @@ def _static(tag: str, attributes: str) -> tuple[tuple[int, ...], bool]:
     return tuple(dict.fromkeys(out)), keep
 
 
+class _Open:
+    """The open elements, with the places of each tag among them, so that no search goes over the stack."""
+
+    def __init__(self, tags: list[str]):
+        self.tags, self.stack = tags, [0]
+        self.places: dict[str, list[int]] = {}
+
+    @property
+    def top(self) -> int:
+        return self.stack[-1]
+
+    def push(self, node: int) -> None:
+        self.places.setdefault(self.tags[node], []).append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            self.places[self.tags[self.stack.pop()]].pop()
+
+    def nearest(self, tags: Iterable[str]) -> int:
+        """The depth of the innermost open element of these tags, 0 for none."""
+        return max((at[-1] for t in tags if (at := self.places.get(t))), default=0)
+
+
+class _Ends:
+    """Closing tags of elements whose inside is not parsed; a tag that has none left is not searched for again."""
+
+    def __init__(self, html: str):
+        self.html, self.none = html, set()
+
+    def after(self, tag: str, pos: int) -> int | None:
+        if tag in self.none:
+            return None
+        found = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(self.html, pos)
+        if found is None:
+            self.none.add(tag)
+            return None
+        return found.end()
+
+
 def parse(html: str) -> Page:
-    parent, depth, tags, static, keep = [-1], [0], ["#root"], [_static("#root", "")[0]], [False]
+    parent, tags, static, keep = [-1], ["#root"], [_static("#root", "")[0]], [False]
     words, link_words, links = [0], [0], [0]
     segments: list[tuple[int, str]] = []
     buffer: list[str] = []
-    stack, in_link, pos, end = [0], 0, 0, html.rfind(">") + 1
-    skip_head = False
+    elements, ends, in_link, pos, end = _Open(tags), _Ends(html), 0, 0, html.rfind(">") + 1
+    skip_head, foreign = False, 0
 
     def flush() -> None:
         text = " ".join("".join(buffer).split())
         buffer.clear()
         if text:
-            segments.append((stack[-1], text))
+            segments.append((elements.top, text))
 
     def add(raw: str) -> None:
         if raw and not skip_head:
             text = entities.unescape(raw) if "&" in raw else raw
             buffer.append(text)
             n = len(text.split())
-            words[stack[-1]] += n
+            words[elements.top] += n
             if in_link:
-                link_words[stack[-1]] += n
+                link_words[elements.top] += n
 
     while pos < end:
         m = TAG.search(html, pos, end)
@@ -112,11 +156,17 @@ def parse(html: str) -> Page:
         tag, closing, attributes = tag.lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
         if tag in SKIPPED:
             if not closing and not attributes.endswith("/"):
-                found = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, pos)
-                if found:
-                    pos = found.end()
+                found = ends.after(tag, pos)
+                if found is not None:
+                    pos = found
                 elif tag in ("script", "style", "textarea", "title"):
                     pos = len(html)
+        elif tag in FOREIGN:
+            if not closing and not attributes.endswith("/"):
+                foreign = max(foreign, ends.after(tag, pos) or 0)
+        elif pos < foreign:
+            if tag == "br":
+                buffer.append(" ")
         elif tag == "br":
             buffer.append(" ")
         elif tag == "head":
@@ -124,49 +174,62 @@ def parse(html: str) -> Page:
         elif tag in INLINE:
             if tag == "a":
                 in_link = 0 if closing else 1
-                links[stack[-1]] += not closing
+                links[elements.top] += not closing
         elif tag in VOID:
             if tag == "hr":
                 flush()
         elif tag == "html":
             pass
         elif closing:
-            for k in range(len(stack) - 1, max(0, len(stack) - 64), -1):
-                if tags[stack[k]] == tag:
-                    flush()
-                    del stack[k:]
-                    in_link = 0
-                    break
+            at = elements.nearest((tag,))
+            if at:
+                flush()
+                elements.cut(at)
+                in_link = 0
         else:
             skip_head = False
             flush()
             in_link = 0
             if tag in CLOSES:
-                ends, bounds = CLOSES[tag]
-                for k in range(len(stack) - 1, 0, -1):
-                    name = tags[stack[k]]
-                    if name in ends:
-                        del stack[k:]
-                        break
-                    if name in bounds:
-                        break
-            elif tags[stack[-1]] == "p":
-                del stack[-1]
+                closed, bounds = CLOSES[tag]
+                at = elements.nearest(closed)
+                if at > elements.nearest(bounds):
+                    elements.cut(at)
+            elif tags[elements.top] == "p":
+                elements.cut(len(elements.stack) - 1)
             features, marked = _static(tag, attributes)
-            top = stack[-1]
+            top = elements.top
             parent.append(top)
-            depth.append(depth[top] + 1)
             tags.append(tag)
             static.append(features)
-            keep.append(marked or (keep[top] and "data-drop" not in attributes))
+            keep.append((marked or keep[top]) and "data-drop" not in attributes)
             words.append(0)
             link_words.append(0)
             links.append(0)
             if not attributes.rstrip().endswith("/"):
-                stack.append(len(parent) - 1)
+                elements.push(len(parent) - 1)
     add(html[pos:])
     flush()
 
+    # Wrappers that say nothing: no text, no name, one child. The child hangs where the wrapper hangs.
+    kids = [0] * len(parent)
+    for up in parent[1:]:
+        kids[up] += 1
+    hollow = [k > 0 and kids[k] == 1 and not words[k] and tags[k] in WRAPPERS and len(static[k]) == 2 for k in range(len(parent))]
+    place, left = [0] * len(parent), []
+    for k in range(len(parent)):  # parents come before children
+        if hollow[k]:
+            place[k] = place[parent[k]]
+        else:
+            place[k] = len(left)
+            left.append(k)
+    parent = [-1 if k == 0 else place[parent[k]] for k in left]
+    tags, static, keep, words, link_words, links = ([x[k] for k in left] for x in (tags, static, keep, words, link_words, links))
+    depth = [0] * len(left)
+    for k in range(1, len(left)):
+        depth[k] = depth[parent[k]] + 1
+    segments = [(place[k], text) for k, text in segments]
+
     features = []
     whole = max(1, sum(words))
     for k in range(len(parent)):
@@ -179,6 +242,21 @@ def parse(html: str) -> Page:
     return Page(parent, depth, features, segments, keep)
 
 
+class Forest:
+    """The trees of some pages, nodes end to end: parents, features, and the nodes of each depth."""
+
+    def __init__(self, pages: list[Page]):
+        sizes = np.array([len(p.parent) for p in pages])
+        base = np.repeat(np.cumsum(sizes) - sizes, sizes)
+        raw = np.concatenate([np.array(p.parent) for p in pages])
+        self.parent = np.where(raw < 0, -1, raw + base)
+        depth = np.concatenate([np.array(p.depth) for p in pages])
+        self.levels = np.split(np.argsort(depth, kind="stable"), np.cumsum(np.bincount(depth))[:-1])
+        counts = np.array([len(f) for p in pages for f in p.features])
+        self.at = np.cumsum(counts) - counts
+        self.flat = np.array([i for p in pages for f in p.features for i in f])
+
+
 class TreeModel:
     """Weights of the node features and the 2 x 2 parent-child potentials (parent's label first)."""
 
@@ -186,26 +264,18 @@ class TreeModel:
         self.w = np.zeros(FEATURES) if weights is None else weights
         self.edge = np.zeros((2, 2)) if edge is None else edge
 
-    def marginals(self, pages: list[Page]) -> tuple[np.ndarray, np.ndarray, float]:
-        """For all nodes of the pages, end to end: log P(label) (nodes, 2), P(parent, own label), sum of log partitions."""
-        sizes = np.array([len(p.parent) for p in pages])
-        base = np.repeat(np.cumsum(sizes) - sizes, sizes)
-        raw = np.concatenate([np.array(p.parent) for p in pages])
-        parent = np.where(raw < 0, -1, raw + base)
-        depth = np.concatenate([np.array(p.depth) for p in pages])
-        counts = np.array([len(f) for p in pages for f in p.features])
-        flat = np.array([i for p in pages for f in p.features for i in f])
-        score = np.add.reduceat(self.w[flat], np.cumsum(counts) - counts)
+    def marginals(self, forest: Forest) -> tuple[np.ndarray, np.ndarray]:
+        """For all nodes: log P(label) (nodes, 2), and P(parent, own label)."""
+        parent = forest.parent
+        score = np.add.reduceat(self.w[forest.flat], forest.at)
         own = np.stack([np.zeros(len(score)), score], 1)
         up, message = own.copy(), np.zeros_like(own)
-        order = np.argsort(depth, kind="stable")
-        levels = np.split(order, np.cumsum(np.bincount(depth))[:-1])
-        for nodes in levels[:0:-1]:
+        for nodes in forest.levels[:0:-1]:
             m = np.logaddexp(self.edge[:, 0] + up[nodes, :1], self.edge[:, 1] + up[nodes, 1:])
             message[nodes] = m
             np.add.at(up, parent[nodes], m)
         down = np.zeros_like(own)
-        for nodes in levels[1:]:
+        for nodes in forest.levels[1:]:
             rest = up[parent[nodes]] + down[parent[nodes]] - message[nodes]
             down[nodes] = np.logaddexp(rest[:, :1] + self.edge[0], rest[:, 1:] + self.edge[1])
             down[nodes] -= down[nodes].max(1, keepdims=True)
@@ -213,16 +283,15 @@ class TreeModel:
         z = np.logaddexp(belief[:, 0], belief[:, 1])
         joint = np.zeros((len(own), 2, 2))
         kids = np.flatnonzero(parent >= 0)
-        rest = (up + down)[parent[kids]] - message[kids]
+        rest = belief[parent[kids]] - message[kids]
         j = rest[:, :, None] + self.edge[None] + up[kids][:, None, :]
         j = np.exp(j - j.max((1, 2), keepdims=True))
         joint[kids] = j / j.sum((1, 2), keepdims=True)
-        roots = np.flatnonzero(parent < 0)
-        return belief - z[:, None], joint, float(np.logaddexp(up[roots, 0], up[roots, 1]).sum())
+        return belief - z[:, None], joint
 
-    def fit(self, pages: list[Page], rounds: int = 250, rate: float = 0.1, decay: float = 1e-3) -> TreeModel:
+    def fit(self, pages: list[Page], rounds: int = 150, rate: float = 0.1, decay: float = 1e-3) -> TreeModel:
         """Gradient ascent (Adam) on the likelihood of the labels of all nodes."""
-        y, at = [], 0
+        forest, y = Forest(pages), []
         for p in pages:
             own = np.array(p.keep)
             for k in range(len(own) - 1, 0, -1):  # what holds content is content
@@ -230,20 +299,14 @@ class TreeModel:
                     own[p.parent[k]] = True
             y.append(own)
         y = np.concatenate(y).astype(float)
-        sizes = np.array([len(p.parent) for p in pages])
-        base = np.repeat(np.cumsum(sizes) - sizes, sizes)
-        raw = np.concatenate([np.array(p.parent) for p in pages])
-        kids = np.flatnonzero(raw >= 0)
-        parent = raw[kids] + base[kids]
-        counts = np.array([len(f) for p in pages for f in p.features])
-        flat = np.array([i for p in pages for f in p.features for i in f])
-        owner = np.repeat(np.arange(len(counts)), counts)
+        kids = np.flatnonzero(forest.parent >= 0)
+        owner = np.repeat(np.arange(len(forest.at)), np.diff(np.append(forest.at, len(forest.flat))))
         seen = np.zeros((2, 2))
-        np.add.at(seen, (y[parent].astype(int), y[kids].astype(int)), 1)
+        np.add.at(seen, (y[forest.parent[kids]].astype(int), y[kids].astype(int)), 1)
         m, v = [0.0, 0.0], [0.0, 0.0]
         for at in range(1, rounds + 1):
-            belief, joint, _ = self.marginals(pages)
-            gw = np.bincount(flat, (y - np.exp(belief[:, 1]))[owner], FEATURES) / len(pages) - decay * self.w
+            belief, joint = self.marginals(forest)
+            gw = np.bincount(forest.flat, (y - np.exp(belief[:, 1]))[owner], FEATURES) / len(pages) - decay * self.w
             ge = (seen - joint.sum(0)) / len(pages) - decay * self.edge
             for k, (g, x) in enumerate(((gw, self.w), (ge, self.edge))):
                 m[k] = 0.9 * m[k] + 0.1 * g
@@ -254,7 +317,7 @@ class TreeModel:
     def texts(self, pages: list[Page]) -> list[str]:
         if not pages:
             return []
-        good = self.marginals(pages)[0][:, 1] >= np.log(0.5)
+        good = self.marginals(Forest(pages))[0][:, 1] >= np.log(0.5)
         out, at = [], 0
         for p in pages:
             out.append("\n\n".join(t for k, t in p.segments if good[at + k]))
@@ -283,7 +346,7 @@ GOOD = "article post entry content post-content entry-content article-body main
 NEUTRAL = "container wrap row col inner page outer section block box left right clearfix grid main-col layout".split()
 
 
-def labelled_pages(n: int = 400, seed: int = 11) -> list[str]:
+def labelled_pages(n: int = 600, seed: int = 11) -> list[str]:
     """Pages with ``data-keep`` on blocks that are content and ``data-drop`` on blocks inside them that are not."""
     rng = random.Random(seed)
 
@@ -343,7 +406,23 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[str]:
             attrs = attribute(KINDS[kind])
         return f"<{tag}{attrs} data-drop>{inside}</{tag}>"
 
+    def nested(inside: str) -> str:
+        """Containers without a meaning of their own around content."""
+        kinds = [rng.choice(["div", "div", "div", "section", "figure", "center", "article"]) for _ in range(rng.choice([1, 1, 2, 3, 5, 8]))]
+        return "".join(f"<{k}{attribute(NEUTRAL + GOOD, 0.25)}>" for k in kinds) + inside + "".join(f"</{k}>" for k in reversed(kinds))
+
     def block() -> str:
+        if rng.random() < 0.12:
+            return nested("".join(block() for _ in range(rng.choice([1, 1, 2, 4]))))
+        kind = rng.random()
+        if kind < 0.06:
+            return f"<p>{sentence(1, 4)}</p>"
+        if kind < 0.08:
+            return f"<figure><img src=x.png><figcaption>{sentence(2, 12)}</figcaption></figure>"
+        if kind < 0.10:
+            return "<dl>" + "".join(f"<dt>{sentence(1, 3)}</dt><dd>{sentence(2, 12)}</dd>" for _ in range(rng.randint(1, 4))) + "</dl>"
+        if kind < 0.11:
+            return f"<details><summary>{sentence(1, 5)}</summary>{prose(1, 2)}</details>"
         kind = rng.random()
         if kind < 0.72:
             inner = prose(1, 6)

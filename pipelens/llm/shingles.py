@@ -104,8 +104,9 @@ def long_hashes(data: np.ndarray, prefixes: tuple[int, ...] = (), breaks: np.nda
         if not len(start):
             continue
         if open_sizes[0]:  # the first word goes on with the open one
+            done = open_sizes[0]
             for j, most in enumerate(sizes):
-                more = min(int(stop[0]), max(0, most - open_sizes[0]))
+                more = min(int(stop[0]), max(0, most - done))
                 own = int(words.sums(np.array([0]), np.array([more]))[0])
                 open_sums[j] = (open_sums[j] + own * pow(int(_B), open_sizes[j], 1 << 64)) & _MASK
                 open_sizes[j] += more
