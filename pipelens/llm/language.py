@@ -36,6 +36,8 @@ LETTER = regex.compile(r"\p{L}")
 class LanguageModel:
     languages: list[str]
     net: ConvNet
+    #: Half way from the score of chance to the least score of a whole text that the network was trained on.
+    floor: float = 0.0
 
     def probabilities(self, column: pa.Array) -> Iterator[np.ndarray]:
         """(texts, languages) for runs of rows."""
@@ -74,7 +76,11 @@ def train(docs: DataFrame, max_train: int = MAX_TRAIN, max_chars: int = MAX_CHAR
     y = np.array(y)
     share = np.bincount(y, minlength=len(languages))
     net.fit(units, y, WINDOW, epochs=max(4, min(40, 16_000 // len(y))), weight=len(y) / (len(languages) * np.maximum(share, 1)))
-    return LanguageModel(languages, net)
+    model = LanguageModel(languages, net)
+    chance = 1 / len(languages)
+    least = min(float(p.max(1).min()) for p in model.probabilities(pa.array(sample["text"], pa.string())))
+    model.floor = chance + max(0.0, least - chance) / 2
+    return model
 
 
 def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:

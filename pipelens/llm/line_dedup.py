@@ -14,7 +14,8 @@ equals an earlier line, and following those leads to a line that is kept, so no
 
 All is DataFrame operations. Identity is (doc_id, text): repeated rows are one document and come out alike. Null or
 empty texts have no lines and stay as they are; documents under ``min_words`` words lose nothing; extra columns pass
-through; an empty table gives an empty result.
+through; an empty table gives an empty result. Words of a line are its gaps (spaces, tabs and the like) and one, but at
+least one for each UNSPACED characters, so that passages in scripts without spaces count too.
 """
 
 from __future__ import annotations
@@ -25,6 +26,9 @@ from pyspark.sql import functions as F
 from pipelens.llm.common import staged
 
 MIN_WORDS = 50
+#: Far above the length of words that spaces part, so that it changes nothing there.
+UNSPACED = 20
+GAPS = " \t\u000b\f\r\u00a0\u3000"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -38,7 +42,7 @@ def _lines(docs: DataFrame) -> DataFrame:
         .where("line <> ''")
         .select(
             "doc_id", "th", "pos", F.xxhash64("line").alias("hash"),
-            (F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1).cast("long").alias("words"),
+            F.greatest(F.length("line") - F.length(F.translate("line", GAPS, "")) + 1, F.ceil(F.length("line") / UNSPACED)).cast("long").alias("words"),
         )
         .repartition("doc_id", "th")  # the only exchange of lines: what follows needs a document's together
         .dropDuplicates(["doc_id", "th", "pos"])
@@ -102,7 +106,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     )
     text = F.when(F.col("__runs").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     lines = lambda t: F.when(t.isNull() | (t == ""), 0).otherwise(F.size(F.split(t, "\n")))
-    out = docs.join(runs, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__th")), "left").withColumn("__new", text)
-    columns = [F.col("__new").alias("text") if c == "text" else F.length("__new").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
-    removed = F.when(F.col("__runs").isNull(), 0).otherwise(lines(F.col("text")) - lines(F.col("__new")))
+    joined = docs.join(runs, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__th")), "left")
+    out = joined.select(*[F.col(f"`{c}`") for c in docs.columns], "__runs", text.alias("__cut_text"))
+    columns = [F.col("__cut_text").alias("text") if c == "text" else F.length("__cut_text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
+    removed = F.when(F.col("__runs").isNull(), 0).otherwise(lines(F.col("text")) - lines(F.col("__cut_text")))
     return out.select(*columns, removed.cast("long").alias("n_removed"))

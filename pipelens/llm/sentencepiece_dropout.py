@@ -11,7 +11,8 @@ Texts fall into chunks (white space and what follows it; line breaks) that no pi
 depend on its characters and on which of its candidates are skipped, and those of frequent chunks are kept by just
 that: the hashes of an occurrence's candidates make a set of bits, and the chunk is worked out once for the bits that
 its merging looks at. All other occurrences are worked out each by itself: short chunks are merged side by side in
-numpy, one merge of each at a time, long ones by a heap. All read the same hashes.
+numpy, one merge of each at a time, long ones rank by rank, all merges of a rank at once, in a time that grows with
+their length. All read the same hashes.
 
 Decoding joins pieces and bytes and takes the leading space off; it gives the text back whatever was skipped. U+2581,
 which stands for a space in pieces, is encoded by bytes, so that it survives. A null text has null ids; an empty one
@@ -39,9 +40,12 @@ SPACE = "▁"
 STAND_IN = "\ud800"
 CHUNK = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 NEVER = np.iinfo(np.int32).max
-LONG, KEPT, ROWS = 48, 150_000, 128
-#: Chunks that stand this often in a run of texts, of at most this many symbols and candidates, are kept.
-OFTEN, SYMBOLS, BITS = 24, 24, 63
+LONG, KEPT = 48, 150_000
+#: Texts of a run, and their characters, about.
+ROWS, CHARACTERS = 128, 1 << 20
+#: Chunks that were seen this often (in runs where they stand at least twice), of at most this many symbols and
+#: candidates, are kept.
+OFTEN, SYMBOLS, BITS = 200, 24, 63
 #: So many occurrences are worked out at once.
 BLOCK = 1 << 14
 _M = (1 << 64) - 1
@@ -77,16 +81,39 @@ class Vocabulary:
                 a, b = ids.get(p[:k]), ids.get(p[k:])
                 if a is not None and b is not None:
                     pairs.append((a * 65536 + b, i, rank[i]))
-        pairs.sort()
-        self.keys, self.merged, self.rank = (np.array(x) for x in zip(*pairs))
-        self.rank = self.rank.astype(np.int32)
-        self.place = {k: at for at, k in enumerate(self.keys.tolist())}
+        self.pairs = {k: (i, r) for k, i, r in pairs}
+        # A table open to collisions, at most a quarter full; key 0 (no pair of pieces) marks a free place.
+        self.shift = np.uint64(62 - len(pairs).bit_length())
+        size = 1 << (64 - int(self.shift))
+        self.keys, self.merged, self.rank = np.zeros(size, np.uint32), np.full(size, -1, np.int32), np.full(size, NEVER, np.int32)
+        key, made, rank_of = (np.array(x, np.int64) for x in zip(*pairs))
+        key, at, left = key.astype(np.uint32), self._home(key.astype(np.uint32)), np.arange(len(pairs))
+        while len(left):
+            free = left[self.keys[at[left]] == 0]
+            self.keys[at[free]] = key[free]  # of several for a place the last one stays
+            there = self.keys[at[left]] == key[left]
+            done = left[there]
+            self.merged[at[done]], self.rank[at[done]] = made[done], rank_of[done]
+            left = left[~there]
+            at[left] = (at[left] + 1) % size
+
+    def _home(self, key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
 
     def look_up(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        key = a.astype(np.int64) * 65536 + b
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        """What adjacent pieces merge to (-1: nothing) and its rank (NEVER)."""
+        key = (a.astype(np.uint32) << np.uint32(16)) | b.astype(np.uint32)
+        at = self._home(key)
+        found = self.keys[at]
+        off = np.flatnonzero((found != key) & (found != 0))
+        while len(off):
+            at[off] = (at[off] + 1) % len(self.keys)
+            found = self.keys[at[off]]
+            off = off[(found != key[off]) & (found != 0)]
         hit = self.keys[at] == key
-        return np.where(hit, self.merged[at], -1).astype(np.int32), np.where(hit, self.rank[at], NEVER).astype(np.int32)
+        merged, rank = self.merged[at], self.rank[at]
+        merged[~hit], rank[~hit] = -1, NEVER
+        return merged, rank
 
 
 def named(start: np.ndarray, middle: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -152,6 +179,7 @@ class Encoder:
 
     def _forget(self) -> None:
         self.number: dict[str, int] = {}
+        self.seen: dict[str, int] = {}
         self.shapes: list[Shape | None] = [None]  # number 0: worked out by itself
         self.plain = [b""]
         # where a chunk's candidates begin in names, how many are looked at if none is skipped, how many there are
@@ -166,7 +194,7 @@ class Encoder:
             i = int(self.v.char[ord(c)])
             symbols += [i] if i >= 0 else self.v.byte[list(SPACE.encode() if c == STAND_IN else c.encode())].tolist()
         n = len(symbols)
-        found: dict[tuple[int, int, int], int] | None = {} if n <= SYMBOLS else None
+        found: dict[tuple[int, int, int], tuple[int, int]] | None = {} if n <= SYMBOLS else None
         if found is not None:
             piece = {(i, i + 1): x for i, x in enumerate(symbols)}
             for size in range(2, n + 1):
@@ -174,9 +202,9 @@ class Encoder:
                     b = a + size
                     for m in range(a + 1, b):
                         left, right = piece.get((a, m)), piece.get((m, b))
-                        if left is not None and right is not None and (at := self.v.place.get(left * 65536 + right)) is not None:
-                            piece[a, b] = int(self.v.merged[at])
-                            found[a, m, b] = at
+                        if left is not None and right is not None and (to := self.v.pairs.get(left * 65536 + right)) is not None:
+                            piece[a, b] = to[0]
+                            found[a, m, b] = to
                 if len(found) > BITS:
                     found = None
                     break
@@ -186,7 +214,7 @@ class Encoder:
         self.number[chunk] = len(self.shapes)
         self.first.append(self.n_names)
         order = list(found)
-        shape = Shape(symbols, {c: (int(self.v.rank[found[c]]), int(self.v.merged[found[c]]), bit) for bit, c in enumerate(order)})
+        shape = Shape(symbols, {c: (found[c][1], found[c][0], bit) for bit, c in enumerate(order)})
         ids, looked = shape.walk(0)
         order = [c for bit, c in enumerate(order) if looked >> bit & 1] + [c for bit, c in enumerate(order) if not looked >> bit & 1]
         shape.candidates = {c: (*shape.candidates[c][:2], bit) for bit, c in enumerate(order)}
@@ -218,6 +246,8 @@ class Encoder:
         """Ids of texts, each with its document's key (any integer)."""
         if self.n_kept + len(self.number) > KEPT:
             self._forget()
+        if len(self.seen) > KEPT:
+            self.seen = {}
         chunks, ends = [], [0]
         for _, text in rows:
             if text:
@@ -226,8 +256,13 @@ class Encoder:
             ends.append(len(chunks))
         number = self.number
         for c, n in Counter(chunks).items():
-            if n >= OFTEN and c not in number:
-                self._learn(c)
+            if n > 1 and c not in number and len(c) <= SYMBOLS:
+                n += self.seen.get(c, 0)
+                if n < OFTEN:
+                    self.seen[c] = n
+                else:
+                    self.seen.pop(c, None)
+                    self._learn(c)
         numbers = [number.get(c, 0) for c in chunks]
         plain = self.plain
         out = [plain[t] for t in numbers]
@@ -285,7 +320,7 @@ class Encoder:
         first = np.cumsum(counts) - counts
         found: list[bytes] = [b""] * len(chunks)
         for c in np.flatnonzero(counts > LONG):
-            found[c] = self._by_heap(symbols[first[c] : first[c] + counts[c]], hashes[c])
+            found[c] = self._by_rank(symbols[first[c] : first[c] + counts[c]], hashes[c])
         short = counts[owner] <= LONG
         for at, ids in self._side_by_side(symbols[short], owner[short], (np.arange(len(owner)) - first[owner])[short], hashes):
             found[at] = ids
@@ -348,33 +383,84 @@ class Encoder:
         for a, b in zip(head.tolist(), [*head[1:].tolist(), len(owners)]):
             yield int(owners[a]), symbols[2 * a : 2 * b]
 
-    def _by_heap(self, symbols: np.ndarray, key: np.uint64) -> bytes:
+    def _by_rank(self, symbols: np.ndarray, key: np.uint64) -> bytes:
+        """Merges of the best rank side by side, a stretch from the left, as far as none makes a better one possible.
+
+        Stretches grow while that does not happen and shrink where it does, so that little is looked at twice.
+        """
         n = len(symbols)
-        sym, after, before = symbols.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
-        heap: list[tuple[int, int, int, int, int]] = []
-
-        def offer(lefts: list[int]) -> None:
-            lefts = [i for i in lefts if i >= 0 and after[i] < n]
-            if not lefts:
-                return
-            at = np.array(lefts)
-            nxt = np.array([after[i] for i in lefts])
-            stop = np.array([after[j] for j in nxt])
-            merged, rank = self._candidates(np.array([sym[i] for i in lefts]), np.array([sym[j] for j in nxt]), at, nxt, stop, np.full(len(at), key))
-            for i, j, k, m, r in zip(lefts, nxt.tolist(), stop.tolist(), merged.tolist(), rank.tolist()):
-                if r < NEVER:
-                    heapq.heappush(heap, (r, i, j, k, m))
-
-        offer(list(range(n)))
-        while heap:
-            _, i, j, k, m = heapq.heappop(heap)
-            if sym[i] is None or after[i] != j or sym[j] is None or after[j] != k:
+        symbol = symbols.astype(np.int32)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+        merged, rank = np.full(n, -1, np.int32), np.full(n, NEVER, np.int32)
+        waiting: dict[int, list[np.ndarray]] = {}  # sorted places by rank
+        stretch: dict[int, int] = {}
+        ranks: list[int] = []
+
+        def ranked(left_symbol, right_symbol, left, middle, stop) -> tuple[np.ndarray, np.ndarray]:
+            return self._candidates(left_symbol, right_symbol, left, middle, stop, np.full(len(left), key))
+
+        def wait(r: int, at: np.ndarray) -> None:
+            if r not in waiting:
+                heapq.heappush(ranks, r)
+            waiting.setdefault(r, []).append(at)
+
+        def offer(at: np.ndarray) -> None:
+            """Ranks the pairs that begin at these places anew."""
+            rank[at] = NEVER
+            at = at[after[at] < n]
+            middle = after[at]
+            merged[at], rank[at] = ranked(symbol[at], symbol[middle], at, middle, after[middle])
+            at = at[rank[at] < NEVER]
+            at = at[np.argsort(rank[at], kind="stable")]
+            edge = np.flatnonzero(np.diff(rank[at])) + 1
+            for part in np.split(at, edge) if len(at) else ():
+                wait(int(rank[part[0]]), part)
+
+        offer(np.arange(n))
+        while ranks:
+            r = heapq.heappop(ranks)
+            places = sorted(waiting.pop(r), key=len)
+            if len(places) > 8:
+                places = [np.unique(np.concatenate(places[:-1])), places[-1]]
+            most = stretch.setdefault(r, 4096)
+            if len(places[-1]) > most:
+                taken = [np.searchsorted(p, places[-1][most - 1], "right") for p in places]
+                for p, k in zip(places, taken):
+                    if k < len(p):
+                        wait(r, p[k:])
+                places = [p[:k] for p, k in zip(places, taken)]
+            at = places[0] if len(places) == 1 else np.unique(np.concatenate(places))
+            at = at[rank[at] == r]
+            if not len(at):
                 continue
-            sym[i], sym[j], after[i] = m, None, k
-            if k < n:
-                before[k] = i
-            offer([before[i], i])
-        return np.array([s for s in sym if s is not None], np.uint16).tobytes()
+            # Of pairs that share a symbol every second one, from the left.
+            new_run = np.concatenate([[True], after[at][:-1] != at[1:]])
+            run = np.maximum.accumulate(np.where(new_run, np.arange(len(at)), 0))
+            i = at[(np.arange(len(at)) - run) % 2 == 0]
+            k, m = after[after[i]], merged[i]
+            # Each merge's neighbours when its turn comes: on the left merged, on the right not yet.
+            touching = np.concatenate([[False], k[:-1] == i[1:]])
+            left = np.where(touching, np.concatenate([[-1], i[:-1]]), before[i])
+            better = np.zeros(len(i), bool)
+            some = np.flatnonzero(left >= 0)
+            left_symbol = np.where(touching, np.concatenate([[-1], m[:-1]]), symbol[left])
+            better[some] = ranked(left_symbol[some], m[some], left[some], i[some], k[some])[1] < r
+            some = np.flatnonzero(k < n)
+            better[some] |= ranked(m[some], symbol[k[some]], i[some], k[some], after[k[some]])[1] < r
+            stretch[r] *= 2
+            if better.any():
+                last = int(np.argmax(better)) + 1
+                stretch[r] = max(64, 2 * last)
+                if len(rest := at[at > i[last - 1]]):
+                    wait(r, rest)
+                i, k, m = i[:last], k[:last], m[:last]
+            middle = after[i]
+            symbol[i], symbol[middle], rank[middle] = m, -1, NEVER
+            after[i] = k
+            before[k[k < n]] = i[k < n]
+            left = before[i]
+            offer(np.unique(np.concatenate([i, left[left >= 0]])))
+        return symbol[symbol >= 0].astype(np.uint16).tobytes()
 
 
 @lru_cache(4)
@@ -395,9 +481,14 @@ def encode(docs: DataFrame, model_file: str, key: str | Column = "doc_id", seed:
     def ids(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         own = encoder(model_file, seed, dropout)
         for keys, texts in columns:
-            found = []
-            for at in range(0, len(texts), ROWS):
-                found += own.encode(list(zip(keys[at : at + ROWS].to_pylist(), (t or "" for t in texts[at : at + ROWS].to_pylist()))))
+            found, run, size = [], [], 0
+            for k, t in zip(keys, texts):
+                run.append((k.as_py(), t.as_py() or ""))
+                size += len(run[-1][1])
+                if len(run) == ROWS or size > CHARACTERS:
+                    found += own.encode(run)
+                    run, size = [], 0
+            found += own.encode(run)
             offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
             values = pa.array(np.concatenate([np.zeros(0, np.uint16), *found]).astype(np.int32))
             del found

@@ -2,6 +2,7 @@
 
 import collections
 import random
+import time
 import zlib
 
 import numpy as np
@@ -12,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from pipelens.llm import minhash, packing, sentencepiece_dropout
+from pipelens.llm import line_dedup, minhash, packing, sentencepiece_dropout, shingles
 from pipelens.llm.common import connected_components
 from pipelens.llm.entry import op1_packing, op3_sentencepiece, op4_minhash, op7_line_dedup, tokenizer_file
 from pipelens.llm.line_dedup import dedup_lines
@@ -86,6 +87,14 @@ def test_packing_of_odd_rows(docs, monkeypatch):
     assert pack_documents(docs([]), BPE).count() == 0
 
 
+def test_packing_of_equal_and_long_rows(docs, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKET_ROWS", 5)
+    same = pack_documents(docs([(1, "one and the same")] * 50 + [(2, "other")] * 7), BPE, 16).collect()
+    assert len(same) == 57 and len({(r.sequence_id, r.offset) for r in same}) == 57
+    long = {1: " " * 1_200_000, 2: "\n" * 1_200_000, 3: "a" * 1_000_000, 4: "x y" * 5}
+    check_packed(pack_documents(docs(list(long.items())), BPE).collect(), long, slow_encoder(), 1024)
+
+
 def test_fast_encoder_gives_the_same_ids():
     texts = ["a<|endoftext|>b", "", " \n\n x\t\t y  ", "É̀ 🙂‍ x's'S 12 ３", "don't 123 \u00a0 x", "".join(map(chr, range(32, 900)))]
     assert packing._encoder(BPE)(texts) == [slow_encoder()(t) for t in texts]
@@ -156,6 +165,28 @@ def test_near_duplicates_of_odd_rows(docs):
     assert near_duplicates(docs([]), 2, 80).count() == 0
 
 
+def test_rows_that_repeat_an_id_are_documents_of_their_own(docs):
+    t, u = "one two three four five six seven", "eight nine ten eleven twelve"
+    got = {(r.doc_id, r.th): r for r in near_duplicates(docs([(3, t), (5, t), (5, u), (9, u), (5, t)]), 2, 80).collect()}
+    assert sorted((i, r.component_id, r.kept, r.leader) for (i, _), r in got.items()) == [(3, 3, True, True), (5, 3, False, False), (5, 5, True, True), (9, 5, False, False)]
+
+
+def test_heavy_shingles_are_joined_in_parts(docs, monkeypatch):
+    """Many texts just under the threshold, whose rare shingles are shared by groups."""
+    monkeypatch.setattr(minhash, "POSTINGS", 3)
+    monkeypatch.setattr(minhash, "CENTRE_ROWS", 4)
+    rows = list(enumerate(variants(60, 9, 2) + variants(40, 5, 4)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs(rows), 2, 80).collect()}
+    assert got == brute_components(rows, 2, 80)
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    text = " ".join(words(5000, 3)) + " " + "y" * 3000 + "  " + " ".join(words(300, 5))
+    whole = next(shingle_sets(pa.array([text]), 5))
+    monkeypatch.setattr(shingles, "CHUNK", 500)
+    assert next(shingle_sets(pa.array([text]), 5)).tolist() == whole.tolist()
+
+
 def test_query_on_documents(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = op4_minhash(spark, sf).collect()
@@ -193,7 +224,7 @@ def brute_lines(rows, least):
         for pos, line in enumerate((text or "").split("\n")):
             line = line.strip(" ")
             if line:
-                n = line.count(" ") + 1
+                n = max(sum(line.count(c) for c in line_dedup.GAPS) + 1, -(-len(line) // line_dedup.UNSPACED))
                 lines.append((line, pos, at, at + n))
                 at += n
         docs.append((i, lines))
@@ -286,6 +317,15 @@ def test_runs_are_cut_to_their_ends(docs):
     assert got == brute_repeats(rows, 50)
 
 
+def test_passages_without_spaces_count(docs):
+    rng = random.Random(9)
+    line = lambda: "".join(rng.choices("漢字仮名交文日本語", k=300))
+    shared, tabs = [line() for _ in range(5)], "\t".join(words(60, 5))
+    rows = [(i, "\n".join([line(), *shared, tabs, line()])) for i in range(3)] + [(7, f"{line()}\n{tabs}\n{line()[:90]}"), (8, f"{shared[0]}\n{line()}")]
+    got = {r.doc_id: r.text for r in dedup_lines(docs(rows)).collect()}
+    assert got == brute_repeats(rows, 50) and len(got[1].split("\n")) == 2 and len(got[7].split("\n")) == 2 and got[8] == rows[-1][1]
+
+
 def test_line_dedup_of_odd_rows(docs, spark, sf):
     got = dedup_lines(docs(ODD)).collect()
     texts = {r.doc_id: r.text for r in got}
@@ -293,7 +333,8 @@ def test_line_dedup_of_odd_rows(docs, spark, sf):
     assert sum(r.doc_id == 5 and r.text == "one" for r in got) == 2
     assert dedup_lines(docs([])).count() == 0
     out = op7_line_dedup(spark, sf)
-    assert out.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+    table = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert {r.doc_id: r.text for r in out.collect()} == brute_repeats(list(table.items()), 50)
     physical = out._jdf.queryExecution().toString()
     assert "Python" not in physical and "Arrow" not in physical
 
@@ -323,12 +364,60 @@ def test_dropout_is_seeded_varied_and_lossless(docs):
     assert plain < sum(len(r.ids or []) for r in a) < whole
 
 
-def test_heap_and_side_by_side_agree(monkeypatch):
-    e = sentencepiece_dropout.Encoder(SP, 3, 0.2, 2)
-    chunks = [f"▁{w}" for w in ["hello", "thehawhen", "x", "naïve", "antidisestablishmentarianism", "🙂🙂", "ab" * 20]]
-    together = e.segment(chunks, 1)
-    monkeypatch.setattr(sentencepiece_dropout, "LONG", 0)
-    assert e.segment(chunks, 1) == together
+def agenda(e, chunk, key):
+    """One chunk by a plain agenda: the best pair first, the leftmost of equals; each candidate is skipped by its own hash."""
+    mask, v = (1 << 64) - 1, e.v
+
+    def splitmix(x):
+        x &= mask
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    def skipped(a, m, b):
+        name = splitmix(splitmix(a * 0x9E3779B97F4A7C15 + 1) + m * 0xC2B2AE3D27D4EB4F + b)
+        return (splitmix(key + name) >> 11) * 2.0**-53 < e.rate
+
+    parts = []
+    for c in chunk:
+        i = int(v.char[ord(c)])
+        parts += [i] if i >= 0 else v.byte[list(c.encode())].tolist()
+    parts = [(i, at, at + 1) for at, i in enumerate(parts)]
+    while True:
+        found = []
+        for n, ((i, a, m), (j, _, b)) in enumerate(zip(parts, parts[1:])):
+            to = v.pairs.get(i * 65536 + j)
+            if to and not skipped(a, m, b):
+                found.append((to[1], n, to[0], a, b))
+        if not found:
+            return np.array([i for i, _, _ in parts], np.uint16).tobytes()
+        _, n, to, a, b = min(found)
+        parts[n : n + 2] = [(to, a, b)]
+
+
+def test_all_ways_of_merging_equal_the_plain_agenda(monkeypatch):
+    e = sentencepiece_dropout.Encoder(SP, 3, 0.2)
+    rng = random.Random(1)
+    chunks = [f"▁{w}" for w in ["hello", "thehawhen", "x", "naïve", "antidisestablishmentarianism", "🙂🙂", "ab" * 20]] + ["▁" * n for n in (2, 7, 40, 90)]
+    chunks += ["▁" + "".join(rng.choices(letters, k=n)) for letters in ("abcdest", "=-", "▁a", "xyé漢") for n in (3, 30, 80)]
+    for rate in (0.0, 0.1, 0.5):
+        e.rate = rate
+        for key in range(3):
+            own = int(sentencepiece_dropout.mix(sentencepiece_dropout.mix(np.array([key + 3 * 1_000_003], np.uint64)))[0])
+            want = [agenda(e, c, own) for c in chunks]
+            for long in (10**9, 0, 48):
+                monkeypatch.setattr(sentencepiece_dropout, "LONG", long)
+                assert e.segment(chunks, key) == want
+
+
+def test_long_runs_take_linear_time():
+    e = sentencepiece_dropout.Encoder(SP, 3, 0.1)
+    rng = random.Random(2)
+    for text in (" " * 100_000, "\n" * 500_000, "a" * 500_000, "".join(rng.choices("abcdefghij", k=200_000)), "-" * 100_000):
+        start = time.process_time()
+        ids = e.encode([(4, text)])[0]
+        assert time.process_time() - start < 20
+        assert b"".join(e.v.bytes_of[i] for i in ids).decode()[1:] == text
 
 
 def test_each_occurrence_has_its_own_dropout(docs, monkeypatch):
