@@ -6,6 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -65,6 +66,15 @@ def discard(*tables: DataFrame) -> None:
             _delete(_written.pop(path), path)
 
 
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The written result of a step, whose own tables are deleted then; nothing else may be staging meanwhile."""
+    before = set(_written)
+    out = staged(make(), name)
+    for path in [p for p in _written if p not in before and p != out._staged_at]:
+        _delete(_written.pop(path), path)
+    return out
+
+
 def ranged(df: DataFrame, order: list[Column], name: str) -> tuple[DataFrame, DataFrame]:
     """``df`` dealt by ranges of the order, with the range's number in ``__p``, written once; and (range, rows) sorted.
 
