@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pipelens.llm import language, toxicity
-from pipelens.llm.common import staged, table
+from pipelens.llm.common import table
 from pipelens.llm.entry import tokenizer_file
 from pipelens.llm.line_dedup import dedup_lines
 from pipelens.llm.minhash import near_duplicates
 from pipelens.llm.packing import pack_documents
+from pipelens.storage import discard, settled
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,11 +24,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_unknown_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language can be seen (no letter at all) go; any known language stays."""
+    """Documents without any letter go, and those in which the network sees no language.
+
+    That is so below half of the way from chance to the least score of a text that it was trained on.
+    """
     model = language.train(docs)
     if model is None:
         return docs
-    return language.identify(docs, model).where("lang_pred <> 'und'").select(docs.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])  # so that no column of docs is taken for a result
+    found = language.identify(docs.select("text", row.alias("__row")), model)
+    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= model.floor))
+    return kept.select(*[F.col("text") if c == "text" else F.col("__row").getField(c).alias(c) for c in docs.columns])
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,15 +43,22 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five words, 0.8) the document with the smallest id stays."""
+    """Of each group of near-duplicates (five words, 0.8) the document (id, text) that comes first stays, once.
+
+    Documents without a word, or without an id, are in no group and stay.
+    """
     found = near_duplicates(docs, k=5, percent=80)
-    gone = found.where("not kept").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    repeated = found.where("kept and n_shingles > 0").groupBy("doc_id").count().where("count > 1 and doc_id is not null")
+    gone = found.where("not leader").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
+    here = F.xxhash64(F.col("text").cast("string"))
+    left = docs.join(gone, (F.col("doc_id") == F.col("__id")) & (here == F.col("__th")), "left_anti")
+    repeated = found.where("leader and n_shingles > 0 and doc_id is not null").groupBy("doc_id", "th").count().where("count > 1")
     if repeated.isEmpty():
         return left
-    first = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("source", "lang"))
-    return left.withColumn("__k", F.when(F.col("doc_id").isNull() | (F.trim("text") == ""), 1).otherwise(first)).where("__k = 1").drop("__k")
+    repeated = repeated.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.lit(True).alias("__again"))
+    marked = left.join(repeated, (F.col("doc_id") == F.col("__id")) & (here == F.col("__th")), "left").select(*docs.columns, "__again")
+    first = marked.where("__again").groupBy("doc_id", "text").agg(F.min(F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")])).alias("__one"))
+    once = first.select(*[F.col(c) if c in ("doc_id", "text") else F.col("__one").getField(c).alias(c) for c in docs.columns])
+    return marked.where("__again is null").drop("__again").unionByName(once)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,5 +81,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        before = docs
+        docs = settled(lambda stage=stage, before=before: stage(spark, before, sf_dir), name)
+        discard(before)
     return docs
