@@ -158,20 +158,22 @@ def test_top_k_like_brute_force(spark, monkeypatch):
 def test_pipeline(spark, sf):
     import corpus_pipeline as p
     from pipelens.llm import language, toxicity
+    from pipelens.storage import staged
     from tests.llm.test_documents import brute_components, check_packed, slow_encoder
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
     frames, columns = [docs], docs.columns
     for name, stage in p.STAGES[:-1]:
-        out = p.staged(stage(spark, frames[-1], sf), name)
+        out = staged(stage(spark, frames[-1], sf), name)
         assert out.columns == columns
         frames.append(out)
     sets = [{r.doc_id: r.text for r in f.select("doc_id", "text").collect()} for f in frames]
     model = toxicity.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
     bad = {r.doc_id for r in toxicity.score_toxicity(docs, model).where(F.col("score") >= model.limit("lang")).collect()}
     assert set(sets[1]) == set(texts) - bad
-    unknown = {r.doc_id for r in language.identify(frames[1], language.train(frames[1])).where("lang_pred = 'und'").collect()}
+    known = language.train(frames[1])
+    unknown = {r.doc_id for r in language.identify(frames[1], known).where((F.col("lang_pred") == "und") | (F.col("score") < known.floor)).collect()}
     assert set(sets[2]) == set(sets[1]) - unknown
     assert set(sets[3]) == set(sets[2]) and all(len(sets[3][i]) <= len(sets[2][i]) for i in sets[3])
     groups = brute_components(list(sets[3].items()), 5, 80)
@@ -182,12 +184,19 @@ def test_pipeline(spark, sf):
 
 def test_pipeline_stages_take_odd_tables(spark, sf):
     import corpus_pipeline as p
+    from pipelens.storage import staged
     from tests.llm.conftest import DOC, ODD
 
     for rows in ([], [(i, t, "en", None, None) for i, t in ODD]):
         docs = spark.createDataFrame(rows, DOC)
         for name, stage in p.STAGES:
-            docs = p.staged(stage(spark, docs, sf), f"odd-{name}")
+            docs = staged(stage(spark, docs, sf), f"odd-{name}")
         assert docs.count() >= 0
     same = spark.createDataFrame([(5, "one two three four five six", "en", "s", 1)] * 3 + [(6, "one two three four five six", "en", "s", 1)], DOC)
     assert [r.doc_id for r in p.drop_near_duplicates(spark, same, sf).collect()] == [5]
+    t, u = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    ids = spark.createDataFrame([(i, x, "en", "s", 1, 2.0) for i, x in [(3, t), (5, t), (5, u), (9, u), (None, u), (7, " ")]], f"{DOC}, score double")
+    left = p.drop_near_duplicates(spark, ids, sf)
+    assert sorted((r.doc_id or 0, r.text) for r in left.collect()) == sorted([(0, u), (3, t), (5, u), (7, " ")])
+    kept = p.drop_unknown_languages(spark, ids, sf)
+    assert kept.columns == ids.columns and kept.where("score <> 2.0").isEmpty()
