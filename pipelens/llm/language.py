@@ -36,7 +36,7 @@ LETTER = regex.compile(r"\p{L}")
 class LanguageModel:
     languages: list[str]
     net: ConvNet
-    #: Half way from the score of chance to the least score of a whole text that the network was trained on.
+    #: Below it a text shows no language: a twentieth of the way from chance to the least score of a training text.
     floor: float = 0.0
 
     def probabilities(self, column: pa.Array) -> Iterator[np.ndarray]:
@@ -79,7 +79,7 @@ def train(docs: DataFrame, max_train: int = MAX_TRAIN, max_chars: int = MAX_CHAR
     model = LanguageModel(languages, net)
     chance = 1 / len(languages)
     least = min(float(p.max(1).min()) for p in model.probabilities(pa.array(sample["text"], pa.string())))
-    model.floor = chance + max(0.0, least - chance) / 2
+    model.floor = chance + max(0.0, least - chance) / 20
     return model
 
 
