@@ -26,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_unknown_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any letter go, and those in which the network sees no language.
 
-    That is so below half of the way from chance to the least score of a text that it was trained on.
+    That is so where the best language is hardly likelier than all others, far below every text it was trained on.
     """
     model = language.train(docs)
     if model is None:
@@ -38,8 +38,10 @@ def drop_unknown_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeats of runs of lines are cut out of texts; every document stays."""
-    return dedup_lines(docs).select(docs.columns)
+    """Later repeats of runs of lines are cut out of texts; documents of which nothing is left by that go."""
+    cut = dedup_lines(docs.drop("n_removed"))
+    left = cut.where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
+    return left.select(*[F.lit(None).cast(t).alias(c) if c == "n_removed" else F.col(f"`{c}`") for c, t in docs.dtypes])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
