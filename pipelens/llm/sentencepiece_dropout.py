@@ -46,28 +46,35 @@ ROWS, CHARACTERS = 128, 1 << 20
 #: Chunks that were seen this often (in runs where they stand at least twice), of at most this many symbols and
 #: candidates, are kept.
 OFTEN, SYMBOLS, BITS = 200, 24, 63
+#: Ids under skipped candidates are kept for chunks that lacked them more often than this.
+MISSED = 100
 #: So many occurrences are worked out at once.
 BLOCK = 1 << 14
 _M = (1 << 64) - 1
 
 
+def loaded(model_file: str) -> tuple[object, list[str], list[bytes]]:
+    """A model file, its pieces and the bytes that they stand for."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
+    pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
+    plain = [b"" if sp.is_control(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
+    return sp, pieces, [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else b for i, (p, b) in enumerate(zip(pieces, plain))]
+
+
 class Vocabulary:
     """Pieces of a model file, and for each pair of pieces the one they merge to and its rank."""
 
     def __init__(self, model_file: str):
-        import sentencepiece
-
-        sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
-        n = sp.get_piece_size()
-        pieces = [sp.id_to_piece(i) for i in range(n)]
-        self.bytes_of = [b"" if sp.is_control(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
+        sp, pieces, self.bytes_of = loaded(model_file)
+        n = len(pieces)
         usual = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         self.byte = np.zeros(256, np.int32)
         for i in range(n):
             if sp.is_byte(i):
                 value = int(pieces[i][3:5], 16)
                 self.byte[value] = i
-                self.bytes_of[i] = bytes([value])
         ids = {pieces[i]: i for i in usual}
         self.char = np.full(0x110000, -1, np.int32)
         for p, i in ids.items():
@@ -137,11 +144,12 @@ def _slices(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarra
 class Shape:
     """A chunk's symbols, its candidates (begin, middle, end) with rank, merged piece and bit, and ids by skipped bits."""
 
-    __slots__ = ("symbols", "candidates", "kept")
+    __slots__ = ("symbols", "candidates", "kept", "missed")
 
     def __init__(self, symbols: list[int], candidates: dict[tuple[int, int, int], tuple[int, int, int]]):
         self.symbols, self.candidates = symbols, candidates
         self.kept: dict[int, tuple[bytes, int]] = {}
+        self.missed = 0
 
     def walk(self, skip: int) -> tuple[bytes, int]:
         """Ids if just these candidates are skipped, and the candidates that were looked at."""
@@ -230,11 +238,17 @@ class Encoder:
             self.names[self.n_names : stop] = named(*np.array(order).T)
             self.n_names = stop
 
-    def _ids(self, shape: Shape, skip: int) -> bytes:
-        """Ids of a chunk of which these candidates are skipped, by those of them that merging looks at."""
+    def _ids(self, shape: Shape, skip: int) -> bytes | None:
+        """Ids of a chunk of which these candidates are skipped, by those of them that merging looks at.
+
+        None if they are not kept, until that has happened so often that keeping them pays.
+        """
         looked = some = 0
         while True:
             if (found := shape.kept.get(some)) is None:
+                shape.missed += 1
+                if shape.missed <= MISSED:
+                    return None
                 found = shape.kept[some] = shape.walk(some)
                 self.n_kept += 1
             looked |= found[1]
@@ -286,7 +300,10 @@ class Encoder:
                 count = every[t[hit]]
                 sets = np.bitwise_or.reduceat(bits, np.cumsum(count) - count)
                 for i, k, skip in zip((hit + lo).tolist(), t[hit].tolist(), sets.tolist()):
-                    out[i] = self._ids(self.shapes[k], skip)
+                    if (ids := self._ids(self.shapes[k], skip)) is None:
+                        which[i] = 0
+                    else:
+                        out[i] = ids
         for lo in range(0, len(chunks), BLOCK):
             rest = lo + np.flatnonzero(which[lo : lo + BLOCK] == 0)
             if len(rest):
@@ -322,8 +339,11 @@ class Encoder:
         for c in np.flatnonzero(counts > LONG):
             found[c] = self._by_rank(symbols[first[c] : first[c] + counts[c]], hashes[c])
         short = counts[owner] <= LONG
-        for at, ids in self._side_by_side(symbols[short], owner[short], (np.arange(len(owner)) - first[owner])[short], hashes):
-            found[at] = ids
+        at, ids = self._side_by_side(symbols[short], owner[short], (np.arange(len(owner)) - first[owner])[short], hashes)
+        if len(at) == len(found):
+            return ids
+        for i, x in zip(at, ids):
+            found[i] = x
         return found
 
     def _candidates(self, a, b, start, middle, stop, key) -> tuple[np.ndarray, np.ndarray]:
@@ -334,11 +354,11 @@ class Encoder:
             rank[some[drop]] = NEVER
         return merged, rank
 
-    def _side_by_side(self, symbol, owner, start, hashes) -> Iterator[tuple[int, bytes]]:
-        """All chunks at once: a round does the best merge of each; chunks without one are done."""
+    def _side_by_side(self, symbol, owner, start, hashes) -> tuple[list[int], list[bytes]]:
+        """Chunks and their ids, all at once: a round does the best merge of each; chunks without one are done."""
         n = len(symbol)
         if not n:
-            return
+            return [], []
         owner, start = owner.astype(np.int32), start.astype(np.int32)
         stop = start + np.int32(1)
         merged, rank = np.full(n, -1, np.int32), np.full(n, NEVER, np.int32)
@@ -354,8 +374,8 @@ class Encoder:
             if over.any():
                 done_symbols.append(symbol[over])
                 done_owners.append(owner[over])
-                left = ~over
-                symbol, owner, start, stop, merged, rank = (x[left] for x in (symbol, owner, start, stop, merged, rank))
+                left = np.flatnonzero(~over)
+                symbol, owner, start, stop, merged, rank = (x.take(left) for x in (symbol, owner, start, stop, merged, rank))
                 size, best = size[best < NEVER], best[best < NEVER]
                 if not len(symbol):
                     break
@@ -364,7 +384,8 @@ class Encoder:
             symbol[at], stop[at] = merged[at], stop[at + 1]
             left = np.ones(len(symbol), bool)
             left[at + 1] = False
-            symbol, owner, start, stop, merged, rank = (x[left] for x in (symbol, owner, start, stop, merged, rank))
+            left = np.flatnonzero(left)
+            symbol, owner, start, stop, merged, rank = (x.take(left) for x in (symbol, owner, start, stop, merged, rank))
             at -= np.arange(len(at))
             redo = np.zeros(len(symbol), bool)
             redo[at] = redo[at[at > 0] - 1] = True
@@ -380,8 +401,8 @@ class Encoder:
         order = np.argsort(owners, kind="stable")
         symbols, owners = symbols[order].astype(np.uint16).tobytes(), owners[order]
         head = np.flatnonzero(np.concatenate([[True], owners[1:] != owners[:-1]]))
-        for a, b in zip(head.tolist(), [*head[1:].tolist(), len(owners)]):
-            yield int(owners[a]), symbols[2 * a : 2 * b]
+        ends = np.append(2 * head, len(symbols)).tolist()
+        return owners[head].tolist(), [symbols[a:b] for a, b in zip(ends, ends[1:])]
 
     def _by_rank(self, symbols: np.ndarray, key: np.uint64) -> bytes:
         """Merges of the best rank side by side, a stretch from the left, as far as none makes a better one possible.
@@ -498,16 +519,36 @@ def encode(docs: DataFrame, model_file: str, key: str | Column = "doc_id", seed:
     return docs.withColumn(column, ids(F.xxhash64(F.lit(seed), key), F.col("text").cast("string")))
 
 
+@lru_cache(2)
+def piece_bytes(model_file: str) -> pa.LargeBinaryArray:
+    return pa.array(loaded(model_file)[2], pa.large_binary())
+
+
+def _texts(lists: pa.ListArray, size: np.ndarray, pieces: pa.LargeBinaryArray) -> list[str | None]:
+    """Texts of rows: the bytes of all their pieces lie end to end, so that a row's text is a slice of them."""
+    taken = pieces.take(lists.flatten())
+    ends = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1) if len(taken) else np.zeros(1, np.int64)
+    raw = memoryview((taken.buffers()[2] if len(taken) else None) or b"")
+    cut = ends[np.cumsum([0, *size])].tolist()
+    given = lists.is_valid().to_pylist()
+    return [str(raw[a:b], "utf-8", "replace")[1:] if is_text else None for a, b, is_text in zip(cut, cut[1:], given)]
+
+
 def decode(encoded: DataFrame, model_file: str, ids: str = "ids", column: str = "decoded") -> DataFrame:
     """``encoded`` with the text that the ids stand for."""
 
     @F.arrow_udf("string")
     def text(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = vocabulary(model_file).bytes_of
+        pieces = piece_bytes(model_file)
         for lists in columns:
-            out: list[str | None] = []
-            for row in lists:
-                out.append(None if not row.is_valid else b"".join([own[i] for i in row.values.to_numpy()]).decode("utf-8", "replace")[1:])
+            size = lists.value_lengths().fill_null(0).to_numpy()
+            out, lo, n = [], 0, 0
+            for hi, k in enumerate(size.tolist(), 1):
+                n += k
+                if hi - lo == ROWS or n > CHARACTERS or hi == len(size):
+                    out += _texts(lists.slice(lo, hi - lo), size[lo:hi], pieces)
+                    lo, n = hi, 0
             yield pa.array(out, pa.string())
+            pa.default_memory_pool().release_unused()
 
     return encoded.withColumn(column, text(F.col(ids)))

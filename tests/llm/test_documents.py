@@ -436,8 +436,9 @@ def test_each_occurrence_has_its_own_dropout(docs, monkeypatch):
         own = sentencepiece_dropout.mix(np.array([key + 5 * 1_000_003], np.uint64))
         keys = sentencepiece_dropout.mix(own + np.arange(len(chunks)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         alone = b"".join(e._segment([c], keys[n : n + 1])[0] for n, c in enumerate(chunks))
-        for often in (10**9, 1):
+        for often, missed in ((10**9, 0), (1, 100), (1, 0)):
             monkeypatch.setattr(sentencepiece_dropout, "OFTEN", often)
+            monkeypatch.setattr(sentencepiece_dropout, "MISSED", missed)
             assert e.encode([(key, text)])[0].tobytes() == alone
 
 
