@@ -11,11 +11,13 @@ from __future__ import annotations
 import re
 import uuid
 from abc import ABC, abstractmethod
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from itertools import batched
 from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -267,39 +269,113 @@ class FunctionTransformer(Transformer):
 
 
 TOKEN = r"\b\w\w+\b"
+#: Bytes of text whose words are hashed at once, and numbers of the vectors that are made at once.
+RUN, CELLS = 1 << 18, 1 << 18
+#: Behind these bytes long texts are cut: no word goes across them, and lower-casing does not look across them.
+_CUT = np.zeros(256, bool)
+_CUT[[*range(33), *b'!"#$%&()*+,-/;<=>?@[\\]{|}~']] = True
 
 
 def murmur3(words: Sequence[bytes], seed: int = 0) -> np.ndarray:
     """Signed 32-bit MurmurHash3 (x86), as published, of many words at once."""
     sizes = np.array([len(w) for w in words], np.int64)
-    out = np.full(len(words), seed, np.uint32)
+    return murmur3_spans(b"".join(words), np.cumsum(sizes) - sizes, sizes, seed)
+
+
+def murmur3_spans(text: bytes, starts: np.ndarray, sizes: np.ndarray, seed: int = 0) -> np.ndarray:
+    """The same of spans of a text, which may overlap."""
 
     def scramble(k: np.ndarray) -> np.ndarray:
         k = k * np.uint32(0xCC9E2D51)
         return (k << np.uint32(15) | k >> np.uint32(17)) * np.uint32(0x1B873593)
 
+    data = np.frombuffer(text + bytes(4), np.uint8).astype(np.uint32)
+    at = data[:-3] | data[1:-2] << np.uint32(8) | data[2:-1] << np.uint32(16) | data[3:] << np.uint32(24)  # the four bytes from each place
     blocks = sizes // 4
-    for n in np.unique(blocks):  # words of as many whole blocks of four bytes together
-        at = np.flatnonzero(blocks == n)
-        width = 4 * (int(n) + 1)
-        data = np.frombuffer(b"".join(words[i].ljust(width, b"\0") for i in at), "<u4").reshape(len(at), -1)
-        h = out[at]
-        for j in range(n):
-            h = h ^ scramble(data[:, j])
-            h = (h << np.uint32(13) | h >> np.uint32(19)) * np.uint32(5) + np.uint32(0xE6546B64)
-        h = h ^ scramble(data[:, n])  # what is left over, padded with zeros; zero changes nothing
-        h = h ^ sizes[at].astype(np.uint32)
-        for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
-            h = (h ^ h >> np.uint32(shift)) * np.uint32(factor)
-        out[at] = h ^ h >> np.uint32(16)
+    order = np.argsort(-blocks, kind="stable")  # spans with a block j come before those without
+    starts, blocks, rest = starts[order], blocks[order], sizes[order] % 4
+    h = np.full(len(sizes), seed, np.uint32)
+    with_block = len(sizes) - np.cumsum(np.bincount(blocks)) if len(sizes) else []
+    for j, n in enumerate(with_block):
+        if n:
+            k = h[:n] ^ scramble(at[starts[:n] + 4 * j])
+            h[:n] = (k << np.uint32(13) | k >> np.uint32(19)) * np.uint32(5) + np.uint32(0xE6546B64)
+    left = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF], np.uint32)[rest]
+    h = h ^ scramble(at[starts + 4 * blocks] & left)  # zero changes nothing
+    h = h ^ sizes[order].astype(np.uint32)
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = (h ^ h >> np.uint32(shift)) * np.uint32(factor)
+    out = np.empty(len(sizes), np.uint32)
+    out[order] = h ^ h >> np.uint32(16)
     return out.view(np.int32)
 
 
+def _pieces(text: pa.Scalar) -> Iterator[str]:
+    """A text in pieces of about RUN bytes, longer where there is nothing to cut behind."""
+    data = np.frombuffer(text.as_buffer() or b"", np.uint8)
+    at, step = 0, RUN
+    while at < len(data):
+        end = at + step
+        if end < len(data):
+            cuts = np.flatnonzero(_CUT[data[end - RUN : end]])
+            if not len(cuts):
+                step += RUN
+                continue
+            end += int(cuts[-1]) + 1 - RUN
+        yield data[at:end].tobytes().decode()
+        at, step = end, RUN
+
+
+def _runs(texts: Iterable[pa.Scalar], overlap: int) -> Iterator[tuple[list[str], np.ndarray, int]]:
+    """(words, rows, known): lower-cased words of texts, a text's number for each, in runs of about RUN bytes. The first
+    ``known`` words of a run, ``overlap`` at most, were the last of the run before and belong to the text that goes on."""
+    token = re.compile(TOKEN)
+    words: list[str] = []
+    owners: list[int] = []
+    counts: list[int] = []
+    size = known = 0
+    for row, text in enumerate(texts):
+        own = len(words)
+        for piece in _pieces(text):
+            low = piece.lower()
+            for found in [token.findall(low)] if len(low) <= RUN else batched((m[0] for m in token.finditer(low)), RUN // 8):
+                words += found
+                owners.append(row)
+                counts.append(len(found))
+                size += min(len(low), RUN)
+                if size >= RUN:
+                    yield words, np.repeat(owners, counts), known
+                    words = words[max(own, len(words) - overlap) :]
+                    owners, counts, known, own, size = [row], [len(words)], len(words), 0, 0
+    if len(words) > known:
+        yield words, np.repeat(owners, counts), known
+
+
+def gram_counts(texts: pa.Array, n: int, lo: int, hi: int) -> np.ndarray:
+    """Signed counts, in ``n`` buckets, of the ``lo``- to ``hi``-grams of each text's words."""
+    out = np.zeros(len(texts) * n)
+    for words, rows, known in _runs(texts, hi - 1):
+        text = " ".join(words)  # a gram is a span of it
+        sizes = np.fromiter(map(len, words) if text.isascii() else (len(w.encode()) for w in words), np.int64, len(words))
+        stops = np.cumsum(sizes + 1) - 1
+        firsts, lasts = [], []
+        for k in range(lo, hi + 1):
+            last = np.arange(max(known, k - 1), len(words))
+            last = last[rows[last - (k - 1)] == rows[last]]
+            firsts.append(last - (k - 1))
+            lasts.append(last)
+        first, last = np.concatenate(firsts), np.concatenate(lasts)
+        starts = stops[first] - sizes[first]
+        h = murmur3_spans(text.encode(), starts, stops[last] - starts).astype(np.int64)
+        np.add.at(out, rows[last] * n + np.abs(h) % n, np.where(h >= 0, 1.0, -1.0))
+    return out.reshape(len(texts), n)
+
+
 class HashingVectorizer(Transformer):
     """Signed hashed counts of the n-grams of lower-cased words of two or more characters, L2-normalised.
 
     ``hash``: "md5" stays in built-in functions (bucket: the first 8 hexadecimal digits; sign: the ninth is below 8);
-    "murmur3" gives the numbers of the usual library, in Arrow batches.
+    "murmur3" gives the numbers of the usual library, in Arrow batches, whose words are hashed RUN bytes at a time.
     """
 
     def __init__(self, n_features: int = 1 << 10, ngram_range: tuple[int, int] = (1, 1), hash: str = "md5", norm: str | None = "l2"):
@@ -314,25 +390,15 @@ class HashingVectorizer(Transformer):
         norm = self.args["norm"]
         if self.args["hash"] == "murmur3":
 
-            @F.pandas_udf("array<double>")
-            def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-                token = re.compile(TOKEN)
-                for batch in batches:
-                    grams, rows = [], []
-                    for text in batch:
-                        words = token.findall((text or "").lower())
-                        before = len(grams)
-                        for k in range(lo, hi + 1):
-                            grams += words if k == 1 else [" ".join(words[i : i + k]) for i in range(len(words) - k + 1)]
-                        rows.append(len(grams) - before)
-                    different = {t: i for i, t in enumerate(dict.fromkeys(grams))}
-                    h = murmur3([t.encode() for t in different]).astype(np.int64)
-                    h = h[np.fromiter((different[t] for t in grams), np.int64, len(grams))]
-                    v = np.zeros((len(batch), n))
-                    np.add.at(v, (np.repeat(np.arange(len(batch)), rows), np.abs(h) % n), np.where(h >= 0, 1.0, -1.0))
-                    if norm == "l2":
-                        v /= np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-300)
-                    yield pd.Series(list(v))
+            @F.arrow_udf("array<double>")
+            def hashed(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+                most = max(1, CELLS // n)
+                for column in columns:
+                    for at in range(0, len(column), most):
+                        v = gram_counts(column.slice(at, most), n, lo, hi)
+                        if norm == "l2":
+                            v /= np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-300)
+                        yield pa.ListArray.from_arrays(np.arange(len(v) + 1, dtype=np.int32) * np.int32(n), pa.array(v.ravel()))
 
             return {"array": hashed(q(c).cast("string"))}
 

@@ -1,6 +1,10 @@
 """Row ids, quantiles and results when rows are many, dealt over several partitions, and recomputed."""
 
+import re
+from pathlib import Path
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,6 +94,47 @@ def test_murmur_of_published_values():
     assert transformers.murmur3([b"", b"a", b"hello", b"hello, world"]).view(np.uint32).tolist() == [0, 0x3C2569B2, 0x248BFA47, 0x149BBB7F]
 
 
+def test_murmur_hashing_in_runs(monkeypatch):
+    texts = [None, "", "One two", "\u039f\u0394\u039f\u03a3'\u0391 \u039f\u0394\u039f\u03a3. \u0130stanbul", "..,," * 40, "ab,cd " * 60, "x" * 90 + " yy", "\u6f22\u5b57\u3001" * 50, "aa", "bb cc"]
+
+    def plain(text, lo, hi):
+        words = re.findall(transformers.TOKEN, (text or "").lower())
+        out = [0.0] * 8
+        for k in range(lo, hi + 1):
+            for i in range(len(words) - k + 1):
+                h = int(transformers.murmur3([" ".join(words[i : i + k]).encode()])[0])
+                out[abs(h) % 8] += 1 if h >= 0 else -1
+        return out
+
+    for run in (8, 20, 64, 1 << 18):
+        monkeypatch.setattr(transformers, "RUN", run)
+        for lo, hi in ((1, 1), (1, 2), (2, 4)):
+            assert transformers.gram_counts(pa.array(texts), 8, lo, hi).tolist() == [plain(t, lo, hi) for t in texts]
+
+
+def test_murmur_hashing_of_a_long_batch_needs_little_memory(spark):
+    """Two million words in one Arrow batch, half of them in one text."""
+    psutil = pytest.importorskip("psutil")
+
+    def megabytes(line):
+        found = {}
+        for p in psutil.Process().children(recursive=True):
+            if "pyspark.daemon" in p.cmdline():
+                status = Path(f"/proc/{p.pid}/status").read_text()
+                found[p.pid] = int(re.search(rf"{line}:\s+(\d+)", status)[1]) / 1024
+                Path(f"/proc/{p.pid}/clear_refs").write_text("5")  # the peak starts anew
+        return found
+
+    word = lambda i: F.hex(F.hash("id", i))
+    n = F.when(F.col("id") == 0, 1_000_000).otherwise(1000)
+    docs = spark.range(0, 1001, 1, 1).select("id", F.array_join(F.transform(F.sequence(F.lit(1), n), word), " ").alias("text"))
+    frame = sources.adopt(docs, "id", Recorder(track_code=False)).select("text")
+    out = ml.HashingVectorizer(8, ngram_range=(1, 2), hash="murmur3", norm=None).fit_transform(frame).df
+    before = megabytes("VmRSS")
+    assert out.where("exists(array, x -> x <> 0)").count() == 1001
+    assert max(high - before.get(pid, 0) for pid, high in megabytes("VmHWM").items()) < 300
+
+
 def test_large_results_are_tables(spark, monkeypatch):
     from pipelens import checks
     from pipelens.inspections import base
